@@ -38,14 +38,19 @@ SCORE_DIGITS = 6
 
 
 def term_table(df: DataFrame, id_col: str, text_col: str, clean_mode: str | None = "delete",
-               min_len: int = 2) -> DataFrame:
+               min_len: int = 2, dedup: bool = True) -> DataFrame:
     """``(id, term, cnt)`` for each distinct cleaned text.
 
     Texts with no token keep one row with a NULL term and ``cnt = 0`` so that
-    they still count as documents and still appear in results.
+    they still count as documents and still appear in results. With
+    ``dedup=False`` every input id keeps its own rows.
     """
     text = clean(F.col(text_col), clean_mode) if clean_mode else F.col(text_col)
     base = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"))
+    if not dedup:
+        return (base.select("_id", F.explode_outer(terms("_t", min_len)).alias("term"))
+                .groupBy("_id", "term").agg(F.count("term").alias("cnt"))
+                .select(F.col("_id").alias("id"), "term", F.col("cnt").cast("long").alias("cnt")))
     toks = base.select(
         "_id",
         F.unhex(F.md5("_t")).alias("_digest"),
@@ -89,6 +94,25 @@ def fit_idf(*term_tables: DataFrame, materialize_result: bool = True) -> Vocabul
     return Vocabulary(vocab, n)
 
 
+def fit_idf_weighted(tt: DataFrame, doc_weights: DataFrame,
+                     materialize_result: bool = False) -> Vocabulary:
+    """Idf when each text stands for ``weight`` identical documents.
+
+    ``doc_weights`` is ``(id, weight)``; df(t) = Σ weight of texts holding t and
+    n = Σ weight. Used when rows of a corpus repeat a text (one candidate, many
+    applications) without exploding the repeats.
+    """
+    n = int(doc_weights.agg(F.sum("weight")).first()[0] or 0)
+    vocab = (tt.where(F.col("term").isNotNull()).select("id", "term")
+             .join(doc_weights, "id")
+             .groupBy("term").agg(F.sum("weight").alias("df"))
+             .select("term", "df",
+                     (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    if materialize_result:
+        vocab = materialize(vocab, "vocabulary")
+    return Vocabulary(vocab, n)
+
+
 def _join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                 limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join, broadcasting ``small`` only when a row count proves it small."""
@@ -180,7 +204,7 @@ def best_match_from_terms(tr: DataFrame, tj: DataFrame, vocab: Vocabulary, *,
 
 
 def rowwise_cosine(pairs: DataFrame, left_w: DataFrame, right_w: DataFrame,
-                   digits: int = SCORE_DIGITS) -> DataFrame:
+                   digits: int | None = SCORE_DIGITS) -> DataFrame:
     """Cosine of given ``(lid, rid)`` pairs only — the diagonal, never the product.
 
     Two equi-joins: pairs with left weights on ``lid``, then with right weights on
@@ -191,8 +215,9 @@ def rowwise_cosine(pairs: DataFrame, left_w: DataFrame, right_w: DataFrame,
     rw = right_w.select(F.col("id").alias("rid"), "term", F.col("w").alias("rw"))
     expanded = pairs.select("lid", "rid").join(lw, "lid").join(rw, ["rid", "term"])
     dots = expanded.groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("dot"))
+    score = F.coalesce("dot", F.lit(0.0))
     return (pairs.select("lid", "rid").join(dots, ["lid", "rid"], "left")
-            .select("lid", "rid", F.round(F.coalesce("dot", F.lit(0.0)), digits).alias("score")))
+            .select("lid", "rid", (F.round(score, digits) if digits is not None else score).alias("score")))
 
 
 def pair_similarity(pairs: DataFrame, left_tt: DataFrame, right_tt: DataFrame,

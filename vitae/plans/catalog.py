@@ -31,5 +31,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from vitae.plans import (  # noqa: F401
+        q_features,
         q_matching,
+        q_metrics,
     )
