@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitae.functions.text import clean, terms
@@ -48,15 +48,16 @@ def term_table(df: DataFrame, id_col: str, text_col: str, clean_mode: str | None
     text = clean(F.col(text_col), clean_mode) if clean_mode else F.col(text_col)
     base = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"))
     if not dedup:
-        return (base.select("_id", F.explode_outer(terms("_t", min_len)).alias("term"))
+        toks = base.select("_id", terms("_t", min_len).alias("_toks"))
+        return (toks.select("_id", F.explode_outer("_toks").alias("term"))
                 .groupBy("_id", "term").agg(F.count("term").alias("cnt"))
                 .select(F.col("_id").alias("id"), "term", F.col("cnt").cast("long").alias("cnt")))
-    toks = base.select(
-        "_id",
-        F.unhex(F.md5("_t")).alias("_digest"),
-        F.explode_outer(terms("_t", min_len)).alias("term"),
-    )
-    return (toks.groupBy("_digest", "term")
+    # digest and token array are computed once per text, in their own projection
+    # below the explode: a digest in the same select as the generator would be
+    # evaluated (and the text copied) once per token.
+    toks = base.select("_id", F.unhex(F.md5("_t")).alias("_digest"), terms("_t", min_len).alias("_toks"))
+    exploded = toks.select("_id", "_digest", F.explode_outer("_toks").alias("term"))
+    return (exploded.groupBy("_digest", "term")
             .agg(F.min("_id").alias("id"), F.count("term").alias("cnt"))
             .select("id", "term", F.col("cnt").cast("long").alias("cnt")))
 
@@ -197,10 +198,31 @@ def best_match_from_terms(tr: DataFrame, tj: DataFrame, vocab: Vocabulary, *,
     zero = text_ids(tr).select(F.col("id").alias("resume_id"),
                                F.lit(first_job).cast("long").alias("job_id"),
                                F.lit(0.0).alias("score"))
+    # arg-max packed into one long (score in millionths, high bits; the job id
+    # inverted in the low 43 bits so the smallest id wins ties) keeps the
+    # reduction a plain hash aggregation with map-side partial results.
     best = (scored.unionByName(zero).groupBy("resume_id")
-            .agg(F.max(F.struct(F.col("score"), (-F.col("job_id")).alias("neg"))).alias("b")))
-    return best.select("resume_id", (-F.col("b.neg")).alias("job_id"),
-                       F.col("b.score").alias("match_score"))
+            .agg(F.max(pack_score_id("score", "job_id", digits)).alias("k")))
+    return best.select("resume_id", unpack_id("k").alias("job_id"),
+                       unpack_score("k", digits).alias("match_score"))
+
+
+ID_BITS = 43
+ID_MASK = (1 << ID_BITS) - 1
+
+
+def pack_score_id(score: str, id_col: str, digits: int) -> Column:
+    """Sortable long: round(score·10^digits) << 43 | (2^43 − 1 − id); ids must be < 2^43."""
+    q = F.round(F.col(score) * F.lit(10.0 ** digits)).cast("long")
+    return F.shiftleft(q, ID_BITS) + (F.lit(ID_MASK) - F.col(id_col))
+
+
+def unpack_id(key: str) -> Column:
+    return (F.lit(ID_MASK) - (F.col(key).bitwiseAND(F.lit(ID_MASK)))).cast("long")
+
+
+def unpack_score(key: str, digits: int) -> Column:
+    return F.round(F.shiftright(F.col(key), ID_BITS).cast("double") / F.lit(10.0 ** digits), digits)
 
 
 def rowwise_cosine(pairs: DataFrame, left_w: DataFrame, right_w: DataFrame,
