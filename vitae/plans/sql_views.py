@@ -134,3 +134,38 @@ feats AS (
          round(match_score, {digits}) AS match_score,
          CAST(match_score > {float(threshold)} AS INTEGER) AS label
   FROM fscored)"""
+
+
+RESUME_DOCS = """
+rd_lines AS (
+  SELECT l.l_orderkey, l.l_linenumber, p.p_name, p.p_brand, p.p_size, o.o_custkey, o.o_orderdate,
+         concat_ws(chr(10),
+              upper(substr(string_split(p.p_name, ' ')[-1], 1, 1)) || lower(substr(string_split(p.p_name, ' ')[-1], 2))
+                || ' Engineer',
+              'Acme Corp',
+              CAST(year(l.l_shipdate) AS VARCHAR) || ' - ' || CAST(year(l.l_shipdate) + 1 AS VARCHAR)) AS block
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey),
+rd_order AS (
+  SELECT l_orderkey, o_custkey,
+         list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))) AS words,
+         coalesce(list_sort(list_distinct(list('- ' || replace(p_brand, '#', ' ') || ' Certified - Acme Board, '
+                  || CAST(year(o_orderdate) AS VARCHAR)) FILTER (WHERE p_size < 10))), []) AS cert_lines,
+         list(block ORDER BY l_linenumber, block) AS blocks
+  FROM rd_lines GROUP BY l_orderkey, o_custkey),
+rdocs AS (
+  SELECT r.l_orderkey AS doc_id, r.o_custkey AS resume_id,
+         concat_ws(chr(10), c.c_name,
+                   'Email: ' || lower(replace(c.c_name, '#', '.')) || '@example.com',
+                   'Phone: 555-' || lpad(CAST(c.c_custkey % 1000 AS VARCHAR), 3, '0') || '-'
+                     || lpad(CAST(c.c_custkey % 10000 AS VARCHAR), 4, '0'),
+                   'Skills', array_to_string(r.words, ', '),
+                   'Certifications', array_to_string(r.cert_lines, chr(10)),
+                   'Experience', array_to_string(r.blocks, chr(10) || chr(10))) AS text
+  FROM rd_order r JOIN customer c ON c.c_custkey = r.o_custkey)"""
+
+
+def vocabulary_sql() -> str:
+    """Skill vocabulary from part names: every distinct name and every distinct word."""
+    return """
+vocab_s AS (SELECT DISTINCT p_name AS skill FROM part
+            UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part)"""

@@ -111,8 +111,10 @@ def resume_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
              .join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
     ship_year = F.year("l_shipdate")
+    last = F.element_at(F.split("p_name", " "), -1)
     block = F.concat_ws("\n",
-                        F.concat(F.initcap(F.element_at(F.split("p_name", " "), -1)), F.lit(" Engineer")),
+                        F.concat(F.upper(F.substring(last, 1, 1)), F.lower(F.substring(last, 2, 1 << 20)),
+                                 F.lit(" Engineer")),
                         F.lit("Acme Corp"),
                         F.concat(ship_year.cast("string"), F.lit(" - "), (ship_year + 1).cast("string")))
     cert_line = F.when(F.col("p_size") < 10, F.concat(
