@@ -37,8 +37,17 @@ BROADCAST_ROWS = 2_000_000
 SCORE_DIGITS = 6
 
 
+def _tokens(col, min_len: int, tokens: str):
+    if tokens == "split":
+        return terms(col, min_len)
+    if tokens == "word":
+        # maximal runs of word characters (Unicode aware), at least min_len long
+        return F.filter(F.regexp_extract_all(col, F.lit(r"(?U)\w+"), 0), lambda t: F.length(t) >= min_len)
+    raise ValueError(f"unknown tokens {tokens!r}; use split or word")
+
+
 def term_table(df: DataFrame, id_col: str, text_col: str, clean_mode: str | None = "delete",
-               min_len: int = 2, dedup: bool = True) -> DataFrame:
+               min_len: int = 2, dedup: bool = True, tokens: str = "split") -> DataFrame:
     """``(id, term, cnt)`` for each distinct cleaned text.
 
     Texts with no token keep one row with a NULL term and ``cnt = 0`` so that
@@ -48,14 +57,15 @@ def term_table(df: DataFrame, id_col: str, text_col: str, clean_mode: str | None
     text = clean(F.col(text_col), clean_mode) if clean_mode else F.col(text_col)
     base = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"))
     if not dedup:
-        toks = base.select("_id", terms("_t", min_len).alias("_toks"))
+        toks = base.select("_id", _tokens(F.col("_t"), min_len, tokens).alias("_toks"))
         return (toks.select("_id", F.explode_outer("_toks").alias("term"))
                 .groupBy("_id", "term").agg(F.count("term").alias("cnt"))
                 .select(F.col("_id").alias("id"), "term", F.col("cnt").cast("long").alias("cnt")))
     # digest and token array are computed once per text, in their own projection
     # below the explode: a digest in the same select as the generator would be
     # evaluated (and the text copied) once per token.
-    toks = base.select("_id", F.unhex(F.md5("_t")).alias("_digest"), terms("_t", min_len).alias("_toks"))
+    toks = base.select("_id", F.unhex(F.md5("_t")).alias("_digest"),
+                       _tokens(F.col("_t"), min_len, tokens).alias("_toks"))
     exploded = toks.select("_id", "_digest", F.explode_outer("_toks").alias("term"))
     return (exploded.groupBy("_digest", "term")
             .agg(F.min("_id").alias("id"), F.count("term").alias("cnt"))
@@ -243,7 +253,7 @@ def rowwise_cosine(pairs: DataFrame, left_w: DataFrame, right_w: DataFrame,
 
 
 def pair_similarity(pairs: DataFrame, left_tt: DataFrame, right_tt: DataFrame,
-                    digits: int = 4) -> DataFrame:
+                    digits: int | None = 4) -> DataFrame:
     """Cosine when the vectorizer is refitted on each pair alone.
 
     With two documents the idf is closed form: 1 for a term on both sides,
@@ -266,5 +276,6 @@ def pair_similarity(pairs: DataFrame, left_tt: DataFrame, right_tt: DataFrame,
     score = F.when((F.col("ll") > 0) & (F.col("rr") > 0),
                    F.col("dot") / (F.sqrt("ll") * F.sqrt("rr"))).otherwise(F.lit(0.0))
     res = agg.select("lid", "rid", score.alias("score"))
+    sc = F.coalesce("score", F.lit(0.0))
     return (pairs.select("lid", "rid").join(res, ["lid", "rid"], "left")
-            .select("lid", "rid", F.round(F.coalesce("score", F.lit(0.0)), digits).alias("score")))
+            .select("lid", "rid", (F.round(sc, digits) if digits is not None else sc).alias("score")))

@@ -35,4 +35,5 @@ def load_all() -> None:
         q_extract,
         q_matching,
         q_metrics,
+        q_screening,
     )
