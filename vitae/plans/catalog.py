@@ -36,4 +36,5 @@ def load_all() -> None:
         q_matching,
         q_metrics,
         q_screening,
+        q_text,
     )
