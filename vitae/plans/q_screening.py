@@ -68,8 +68,8 @@ cs_b AS (SELECT coalesce(l.resume_id, r.resume_id) AS resume_id, coalesce(l.job_
          FROM cs_l l FULL OUTER JOIN cs_r r
            ON l.resume_id = r.resume_id AND l.job_id = r.job_id AND l.term = r.term),
 cs_w AS (SELECT resume_id, job_id,
-                coalesce(lc, 0) * CASE WHEN lc IS NOT NULL AND rc IS NOT NULL THEN 1.0 ELSE {one} END AS lw,
-                coalesce(rc, 0) * CASE WHEN lc IS NOT NULL AND rc IS NOT NULL THEN 1.0 ELSE {one} END AS rw
+                coalesce(lc, 0) * CASE WHEN lc IS NOT NULL AND rc IS NOT NULL THEN CAST(1.0 AS DOUBLE) ELSE CAST({one} AS DOUBLE) END AS lw,
+                coalesce(rc, 0) * CASE WHEN lc IS NOT NULL AND rc IS NOT NULL THEN CAST(1.0 AS DOUBLE) ELSE CAST({one} AS DOUBLE) END AS rw
          FROM cs_b),
 cs_s AS (SELECT resume_id, job_id, sum(lw * rw) AS dot, sum(lw * lw) AS ll, sum(rw * rw) AS rr
          FROM cs_w GROUP BY resume_id, job_id),
