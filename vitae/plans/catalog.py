@@ -32,6 +32,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from vitae.plans import (  # noqa: F401
         q_features,
+        q_jobs,
         q_extract,
         q_matching,
         q_metrics,
