@@ -36,6 +36,7 @@ def load_all() -> None:
         q_extract,
         q_matching,
         q_metrics,
+        q_model,
         q_screening,
         q_text,
     )
