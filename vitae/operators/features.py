@@ -72,8 +72,8 @@ def experience_years(starts, ends, formats: list[str] | None = None) -> Column:
     fmts = formats or ["yyyy-MM-dd"]
 
     def parse(s):
-        return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in fmts]) if len(fmts) > 1 \
-            else F.try_to_date(s, F.lit(fmts[0]))
+        return F.coalesce(*[F.try_to_date(s, f) for f in fmts]) if len(fmts) > 1 \
+            else F.try_to_date(s, fmts[0])
 
     zipped = F.arrays_zip(_c(starts).alias("s"), _c(ends).alias("e"))
     days = F.aggregate(zipped, F.lit(0).cast("long"),
