@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitae.operators import tfidf
 from vitae.plans import sql as S
 from vitae.plans.catalog import register
+from vitae.session import materialize
 from vitae.sources.tables import table
 
 
@@ -32,8 +33,8 @@ def match_best(spark, sf_dir):
     "UNION ALL SELECT 'job', id, term, round(w, 6) FROM j_w"))
 def tfidf_union(spark, sf_dir):
     """Unit-length TF-IDF rows of distinct resumes and jobs, vocabulary fitted on both."""
-    tr = tfidf.term_table(_docs(spark, sf_dir), "doc_id", "text")
-    tj = tfidf.term_table(_jobs(spark, sf_dir), "item_id", "text")
+    tr = materialize(tfidf.term_table(_docs(spark, sf_dir), "doc_id", "text"), "terms_r")
+    tj = materialize(tfidf.term_table(_jobs(spark, sf_dir), "item_id", "text"), "terms_j")
     vocab = tfidf.fit_idf(tr, tj)
     wr = tfidf.weights(tr, vocab).select(F.lit("resume").alias("side"), "id", "term", F.round("w", 6).alias("weight"))
     wj = tfidf.weights(tj, vocab).select(F.lit("job").alias("side"), "id", "term", F.round("w", 6).alias("weight"))
