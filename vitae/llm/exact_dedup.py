@@ -1,15 +1,15 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes, keep one row.
 
-Built from DataFrame operations only. Rows are grouped by the MD5 of their
-text, with partial aggregation before the shuffle, so a hash that holds a
-third of all rows arrives as one row per task. Inside hashes with several rows
-the texts themselves are the grouping key: Spark compares grouping keys byte
-by byte, so two texts that collide stay two groups. Texts of hashes with one
-row never move.
+Built from DataFrame operations only. The grouping key is the MD5 of the text
+and the text itself: Spark compares grouping keys byte by byte, so two texts
+whose hashes collide stay two groups. Equal texts are folded in each task
+before the shuffle, so a text that a third of all rows hold arrives as one row
+per task.
 
 Defined cases: a null text counts as empty and equals other empty texts; a
 null id is smaller than every other id; of rows that repeat id and text
-exactly one is kept; an empty table gives no rows; other columns pass through.
+exactly one is kept; an empty table gives no rows; other columns pass through,
+``__hash`` and ``__text`` are the only names that may not occur.
 """
 
 from __future__ import annotations
@@ -19,59 +19,57 @@ from pyspark.sql import functions as F
 
 from vitae.session import materialize
 
-_ROW, _HASH, _SHA, _TEXT = "__row", "__hash", "__sha", "__text"
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__text``, null made empty, and its 128-bit ``__hash``."""
+    return (docs.withColumn("__text", F.coalesce("text", F.lit("")))
+            .withColumn("__hash", F.unhex(F.md5(F.encode("__text", "UTF-8")))))
 
-def classes(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """Every row of ``docs`` with the group it belongs to.
 
-    Adds ``__row`` (a number of the row), ``__sha`` (SHA-256 of the text, hex),
-    and ``__keep`` and ``__kept_row`` (the id and row number of the row that
-    stays), ``__size`` (rows in the group). ``keep`` names which id stays,
-    "smallest" or "largest".
+def deduplicate(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """One row of each group of equal texts, with the columns of ``docs``.
+
+    ``keep`` names the id that stays, "smallest" or "largest". The rows meet
+    in one shuffle, already folded by task.
     """
-    staged = materialize(
-        docs.withColumn(_ROW, F.monotonically_increasing_id())
-        .withColumn(_TEXT, F.coalesce("text", F.lit("")))
-        .withColumn(_HASH, F.unhex(F.md5(F.encode(_TEXT, "UTF-8"))))
-        .withColumn(_SHA, F.sha2(F.encode(_TEXT, "UTF-8"), 256)), "exact-docs")
-    pick = F.min if keep == "smallest" else F.max
-    order = F.struct(F.col("doc_id"), F.col(_ROW))
-    hashes = (staged.groupBy(_HASH)
-              .agg(F.count(F.lit(1)).alias("__n"), pick(order).alias("__best"))
-              .where("__n > 1").select(_HASH))
-    shared = staged.join(hashes, _HASH, "left_semi")
-    groups = materialize(shared.groupBy(_HASH, _TEXT)
-                         .agg(F.count(F.lit(1)).alias("__n"), pick(order).alias("__best")), "exact-groups")
-    # Nearly always one text per hash, and then the hash alone names the group.
-    plain = groups.groupBy(_HASH).agg(F.count(F.lit(1)).alias("__texts"), F.max("__n").alias("__n"),
-                                      F.max("__best").alias("__best"))
-    by_hash = plain.where("__texts = 1").drop("__texts")
-    collided = plain.where("__texts > 1").select(F.col(_HASH).alias("__h"))
-    by_text = groups.join(collided, F.col(_HASH) == F.col("__h"), "left_semi").select(
-        F.col(_HASH).alias("__h"), F.col(_TEXT).alias("__t"), F.col("__n").alias("__n2"),
-        F.col("__best").alias("__best2"))
-    rows = staged.join(by_hash, _HASH, "left")
-    if not by_text.isEmpty():
-        rows = rows.join(by_text, (F.col(_HASH) == F.col("__h")) & (F.col(_TEXT) == F.col("__t")), "left")
-        rows = rows.withColumn("__n", F.coalesce("__n", "__n2")).withColumn("__best", F.coalesce("__best", "__best2"))
-    return rows.select(
-        *docs.columns, _ROW, _SHA,
-        F.when(F.col("__best").isNull(), F.col("doc_id")).otherwise(F.col("__best.doc_id")).alias("__keep"),
-        F.coalesce(F.col("__best")[_ROW], F.col(_ROW)).alias("__kept_row"),
-        F.coalesce("__n", F.lit(1)).cast("long").alias("__size"))
+    pick = F.min_by if keep == "smallest" else F.max_by
+    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null"))
+    kept = _keyed(docs).groupBy("__hash", "__text").agg(pick(row, F.struct("doc_id")).alias("__row"))
+    text = F.when(~F.col("__row.__null"), F.col("__text")).alias("text")
+    return kept.select(*[text if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row, dropped ones too."""
-    return classes(docs.select("doc_id", "text"), keep).select(
-        "doc_id", F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
-        (F.col(_ROW) == F.col("__kept_row")).alias("kept"), F.col(_SHA).alias("text_sha256"))
-
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row, dropped ones too.
 
-def deduplicate(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    return classes(docs, keep).where(F.col(_ROW) == F.col("__kept_row")).select(*docs.columns)
+    A hash with one text, which is all of them but for collisions, names its
+    group, so rows find it without their texts. Where a hash has several
+    texts, its rows join on the text as well.
+    """
+    staged = materialize(
+        _keyed(docs.select("doc_id", "text")).drop("text")
+        .withColumn("__sha", F.sha2(F.encode("__text", "UTF-8"), 256))
+        .withColumn("__rowno", F.monotonically_increasing_id()), "exact-docs")
+    pick = F.min if keep == "smallest" else F.max
+    groups = materialize(
+        staged.groupBy("__hash", "__text")
+        .agg(F.count(F.lit(1)).alias("__n"), pick(F.struct("doc_id", "__rowno")).alias("__best"))
+        .select("__hash", "__n", "__best", F.when(F.col("__n") > 1, F.col("__text")).alias("__text")), "exact-groups")
+    many = materialize(groups.groupBy("__hash").agg(F.count(F.lit(1)).alias("__texts")).where("__texts > 1"),
+                       "exact-collisions")
+    repeated = materialize(groups.where("__n > 1").join(many, "__hash", "left_anti")
+                           .select("__hash", "__n", "__best"), "exact-repeated")
+    rows = staged.join(repeated, "__hash", "left")
+    if not many.isEmpty():
+        collided = groups.where("__n > 1").join(many, "__hash", "left_semi").select(
+            "__hash", "__text", F.col("__n").alias("__n2"), F.col("__best").alias("__best2"))
+        rows = (rows.join(collided, ["__hash", "__text"], "left")
+                .withColumn("__n", F.coalesce("__n", "__n2")).withColumn("__best", F.coalesce("__best", "__best2")))
+    alone = F.col("__best").isNull()
+    return rows.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("__best.doc_id")).alias("keep_id"),
+        F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("__best.__rowno") == F.col("__rowno"))).alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
 REPORT_SQL = """
