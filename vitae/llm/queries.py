@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitae.llm import exact_dedup, mixing, quality, toxicity
+from vitae.llm import exact_dedup, mixing, packing, quality, token_output, toxicity
 from vitae.sources.tables import table
 
 QUERIES = {}
@@ -38,3 +38,13 @@ def op4_exact_dedup(spark, sf_dir):
 @query(mixing.REPORT_SQL)
 def op5_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_token_output(spark, sf_dir):
+    return token_output.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query()
+def op9_packing(spark, sf_dir):
+    return packing.report(table(spark, sf_dir, "documents", "doc_id", "text"))
