@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitae.llm import exact_dedup, mixing, packing, quality, token_output, toxicity
+from vitae.llm import exact_dedup, mixing, packing, quality, substring_dedup, token_output, toxicity
 from vitae.sources.tables import table
 
 QUERIES = {}
@@ -48,3 +48,8 @@ def op8_token_output(spark, sf_dir):
 @query()
 def op9_packing(spark, sf_dir):
     return packing.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query(substring_dedup.REPORT_SQL)
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -18,7 +18,8 @@ import pyarrow as pa
 from vitae.llm.words import slices
 
 #: Pieces remembered by a worker before it starts afresh.
-PIECES = 1_000_000
+PIECES = 600_000
+STOPS = (".", ",")
 #: A longer piece is not remembered.
 LONGEST = 64
 
@@ -44,6 +45,7 @@ class Encoder:
         self.model = Tokenizer.from_file(tokenizer_path(name))
         self.spaced = spaced
         self.known: dict[str, bytes | None] = {}
+        self.stops = {c: self.ids(c) for c in STOPS}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -55,6 +57,11 @@ class Encoder:
         if len(known) + len(new) > PIECES:
             known.clear()
             new = list(pieces)
+        # Letters and a stop or comma behind them are never merged: their ids are those of the two in a row.
+        ended = [w for w in new if w[-1:] in STOPS and w[-2:-1].isalpha()]
+        new = {*new}.difference(ended)
+        new.update(w[:-1] for w in ended if w[:-1] not in known)
+        new = list(new)
         found = self.model.encode_batch_fast([lead + w for w in new], add_special_tokens=False)
         rare = {}
         for w, e in zip(new, found):
@@ -62,11 +69,16 @@ class Encoder:
             if self.spaced and (not w or w[-1].isspace()):
                 value = None  # the run of white space it ends in goes on in the next piece
             (known if len(w) <= LONGEST else rare)[w] = value
+        for w in ended:
+            stem = w[:-1]
+            (known if len(w) <= LONGEST else rare)[w] = (known[stem] if stem in known else rare[stem]) + self.stops[w[-1]]
         return rare
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
-            parts = [t.replace("\n", " ").split(" ") for t in texts]
+            # The vocabulary knows lower case only; ASCII capitals may go first, but for special tokens.
+            low = [t if "<|" in t else t.encode().lower().decode() for t in texts]
+            parts = [t.replace("\n", " ").split(" ") for t in low]
             rare = self._learn(set().union(*parts))
             return [b"".join(map(self._finder(rare), p)) for p in parts]
         parts = [t.split(" ") for t in texts]
