@@ -23,25 +23,25 @@ from vitae.session import ensure_checkpoint_dir
 
 
 def stage(docs: DataFrame, name: str, most: int = 4 << 20) -> DataFrame:
-    """(block long, doc_id long, text string) of every row, null texts made empty.
+    """(block, doc_id, text, row) of every row: null texts made empty, ``row`` a number of its own.
 
     Blocks hold about ``most`` bytes of text, or one document.
     """
     def number(batches):
-        base, k = TaskContext.get().partitionId() << 32, 0
+        base, k, row = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for part in slices(batch, "text", most):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(part.num_rows, base + k)), part.column(0), part.column(1)],
-                    ["block", "doc_id", "text"])
-                k += 1
+                    [pa.array(np.full(part.num_rows, base + k)), part.column(0), part.column(1),
+                     pa.array(base + row + np.arange(part.num_rows))], ["block", "doc_id", "text", "row"])
+                k, row = k + 1, row + part.num_rows
 
     spark = docs.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{table}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-     .mapInArrow(number, "block long, doc_id long, text string")
+     .mapInArrow(number, "block long, doc_id long, text string, row long")
      .write.bucketBy(buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(table))
     return spark.table(table)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vitae.llm import exact_dedup, mixing, packing, quality, substring_dedup, token_output, toxicity
+from vitae.llm import (exact_dedup, mixing, near_dedup, packing, quality, substring_dedup,
+                       token_output, toxicity)
 from vitae.sources.tables import table
 
 QUERIES = {}
@@ -53,3 +54,8 @@ def op9_packing(spark, sf_dir):
 @query(substring_dedup.REPORT_SQL)
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query()
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
