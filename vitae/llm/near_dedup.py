@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,7 +203,7 @@ def _verified(staged: DataFrame, pairs: DataFrame, weights, threshold: float) ->
         pairs.select(F.col("b").alias("row"), F.col("block_b").alias("block"))).distinct()
 
     def pick(docs: pa.Table, keys: pa.Table) -> pa.Table:
-        return docs.filter(pa.compute.is_in(docs["row"], keys["row"])).select(["row", "text"])
+        return docs.filter(pc.is_in(docs["row"], keys["row"])).select(["row", "text"])
 
     texts = materialize(blocks.with_keys(staged, wanted, pick, "row long, text string"), "near-texts")
     both = (pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitae.llm import (exact_dedup, mixing, near_dedup, packing, quality, substring_dedup,
+from vitae.llm import (embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup,
                        token_output, toxicity)
 from vitae.sources.tables import table
 
@@ -59,3 +59,8 @@ def op3_substring_dedup(spark, sf_dir):
 @query()
 def op6_near_dedup(spark, sf_dir):
     return near_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query(embedding_dedup.REPORT_SQL)
+def op7_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -126,7 +126,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa
     column = batch.column(batch.schema.get_field_index(text))
     if not len(column):
         return
-    size = np.array(pa.compute.binary_length(column).fill_null(0), dtype=np.int64)
+    size = np.array(pc.binary_length(column).fill_null(0), dtype=np.int64)
     total = np.cumsum(size)
     at = 0
     while at < len(size):
