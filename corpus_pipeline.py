@@ -8,9 +8,8 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
-from vitae.llm import exact_dedup, mixing, toxicity  # noqa: E402
+from vitae.llm import exact_dedup, mixing, near_dedup, packing, toxicity  # noqa: E402
 from vitae.session import materialize, prepare  # noqa: E402
 from vitae.sources.tables import table  # noqa: E402
 
@@ -27,16 +26,30 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    prepare(spark)
+    return near_dedup.deduplicate(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     prepare(spark)
     return mixing.mix(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their ids, placed in sequences of 2048 tokens."""
+    prepare(spark)
+    return packing.pack(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
     ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: Learned scores and sampled hashes have no SQL form; the tests hold run() against brute force.

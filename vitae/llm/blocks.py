@@ -22,26 +22,31 @@ from vitae.llm.words import slices
 from vitae.session import ensure_checkpoint_dir
 
 
-def stage(docs: DataFrame, name: str, most: int = 4 << 20) -> DataFrame:
+def stage(docs: DataFrame, name: str, most: int = 4 << 20, ids_of=None) -> DataFrame:
     """(block, doc_id, text, row) of every row: null texts made empty, ``row`` a number of its own.
 
-    Blocks hold about ``most`` bytes of text, or one document.
+    Blocks hold about ``most`` bytes of text, or one document. ``ids_of``, a
+    function from a list of texts to a list of byte strings, adds a column ``ids``.
     """
     def number(batches):
         base, k, row = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for part in slices(batch, "text", most):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(part.num_rows, base + k)), part.column(0), part.column(1),
-                     pa.array(base + row + np.arange(part.num_rows))], ["block", "doc_id", "text", "row"])
+                columns = [pa.array(np.full(part.num_rows, base + k)), part.column(0), part.column(1),
+                           pa.array(base + row + np.arange(part.num_rows))]
+                if ids_of:
+                    columns.append(pa.array(ids_of(part.column(1).to_pylist()), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
                 k, row = k + 1, row + part.num_rows
 
+    schema = "block long, doc_id long, text string, row long" + ", ids binary" * bool(ids_of)
+    names = [c.split()[0] for c in schema.split(", ")]
     spark = docs.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{table}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-     .mapInArrow(number, "block long, doc_id long, text string, row long")
+     .mapInArrow(number, schema)
      .write.bucketBy(buckets, "block").option("compression", "zstd").option("path", path).saveAsTable(table))
     return spark.table(table)
 
@@ -49,3 +54,33 @@ def stage(docs: DataFrame, name: str, most: int = 4 << 20) -> DataFrame:
 def with_keys(staged: DataFrame, keys: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(documents, keys)`` on the Arrow tables of each block; blocks without keys get none."""
     return staged.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(fn, schema)
+
+
+SUMS = "chunk long, sums binary"
+
+
+def chunks(array: np.ndarray, size: int = 1 << 14) -> pa.RecordBatch:
+    """A task's array of numbers as rows of SUMS."""
+    flat = array.ravel()
+    at = range(0, len(flat), size)
+    return pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(at)), pa.int64()),
+                                       "sums": pa.array([flat[k:k + size].tobytes() for k in at], pa.binary())})
+
+
+def summed(rows: DataFrame, kind, size: int) -> np.ndarray:
+    """The sum of all tasks' arrays of ``size`` numbers; each chunk's rows are added up as they arrive.
+
+    Only the total, whose size does not depend on the data, reaches the driver.
+    """
+    wide = np.float64 if np.dtype(kind).kind == "f" else np.int64
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, b in zip(*(x.to_pylist() for x in batch.columns)):
+                sums[c] = sums.get(c, 0) + np.frombuffer(b, kind).astype(wide)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int64()),
+                                          "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    got = rows.repartition(16, "chunk").mapInArrow(add, SUMS).orderBy("chunk").collect()
+    return np.concatenate([np.frombuffer(r["sums"], wide) for r in got]) if got else np.zeros(size, wide)

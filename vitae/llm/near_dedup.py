@@ -40,7 +40,7 @@ BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 #: Samples that must agree before two nodes of different classes are compared by their texts.
 AGREE = 37
-CELL_BITS, CHUNK_BITS = 20, 14
+CELL_BITS = 20
 IDF_SHARE = 0.25
 _HASH = WordHash(seed=606)
 _U = np.uint64
@@ -152,28 +152,10 @@ def cell_weights(staged: DataFrame) -> np.ndarray:
                 docs += part.num_rows
                 pair = np.unique(np.repeat(np.arange(part.num_rows), np.diff(first)) * size + _cells(h))
                 df += np.bincount(pair % size, minlength=size)
-        step = 1 << CHUNK_BITS
-        for k in range(0, size, step):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // step]), "df": pa.array([df[k:k + step].tobytes()]),
-                                              "docs": pa.array([docs])})
+        yield blocks.chunks(np.r_[df, docs])
 
-    def total(batches):
-        sums, docs = {}, {}
-        for batch in batches:
-            for c, b, n in zip(*(x.to_pylist() for x in batch.columns)):
-                sums[c] = sums.get(c, 0) + np.frombuffer(b, np.int64)
-                docs[c] = docs.get(c, 0) + n
-        yield pa.RecordBatch.from_pydict({
-            "chunk": pa.array(list(sums), pa.int64()), "df": pa.array([x.tobytes() for x in sums.values()], pa.binary()),
-            "docs": pa.array(list(docs.values()), pa.int64())})
-
-    schema = "chunk long, df binary, docs long"
-    got = (staged.select("text").mapInArrow(count, schema).repartition(16, "chunk")
-           .mapInArrow(total, schema).orderBy("chunk").collect())
-    if not got:
-        return np.zeros(size, np.float32)
-    df = np.concatenate([np.frombuffer(r["df"], np.int64) for r in got]).astype(float)
-    n = max(got[0]["docs"], 1)
+    got = blocks.summed(staged.select("text").mapInArrow(count, blocks.SUMS), np.int64, size + 1)
+    df, n = got[:size].astype(float), max(int(got[size]), 1)
     return np.log(1 + IDF_SHARE * np.maximum(np.log((1 + n) / (1 + df)), 0) / np.log(1 + n)).astype(np.float32)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vitae.llm import (embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup,
+from vitae.llm import (embedding_dedup, exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup,
                        token_output, toxicity)
 from vitae.sources.tables import table
 
@@ -64,3 +64,8 @@ def op6_near_dedup(spark, sf_dir):
 @query(embedding_dedup.REPORT_SQL)
 def op7_embedding_dedup(spark, sf_dir):
     return embedding_dedup.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query()
+def op10_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"))
