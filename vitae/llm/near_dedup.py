@@ -7,11 +7,12 @@ copies from making its own shingles light. Improved consistent weighted
 sampling (Ioffe, 2010) draws HASHES samples whose chance to agree is the
 weighted Jaccard similarity; BANDS bands of them make the candidates.
 
-Equal texts count as one node. In each bucket every node is verified against
-two nodes of that bucket; then nodes of one bucket that are still in different
-classes are all compared, if enough of their samples agree (a pair at the
-threshold fails that with a chance below 1e-4). A pair links if its weighted
-Jaccard similarity, computed from the texts, is at least the threshold.
+Equal texts count as one node. In each bucket every node is compared with
+HEADS nodes of that bucket drawn by hash (all of a small bucket); then nodes of
+one bucket that are still in different classes are all compared. A comparison
+first asks that AGREE of the samples agree, which a pair exactly at the
+threshold fails with a chance of 0.4 %; a pair links if its weighted Jaccard
+similarity, computed from the texts, is at least the threshold.
 
 Defined cases: a null or empty text has no shingles and is a class of its own;
 equal texts share a class; texts of any length are read whole; repeated rows
@@ -39,7 +40,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 #: Samples that must agree before two nodes of different classes are compared by their texts.
-AGREE = 37
+AGREE = 43
+#: Nodes of a bucket, drawn by hash, that all its nodes are compared with.
+HEADS = 8
 CELL_BITS = 20
 IDF_SHARE = 0.25
 _HASH = WordHash(seed=606)
@@ -216,6 +219,11 @@ def _verified(staged: DataFrame, pairs: DataFrame, weights, threshold: float) ->
     return materialize(both.mapInArrow(compare, "a long, b long"), "near-links")
 
 
+def _agreeing(one: str, other: str):
+    """How many of two nodes' samples agree."""
+    return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda x: x))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """row, block, doc_id, class_row, class_id, kept of every row of ``docs``, with ``staged`` rows' numbers."""
     spark = docs.sparkSession
@@ -230,17 +238,15 @@ def _classes(staged: DataFrame, spark, threshold: float) -> DataFrame:
                                 F.col("x.sig").alias("sig")), "near-nodes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                                  lambda k: F.xxhash64(F.slice("sig", k * ROWS + 1, ROWS), k)))
-    banded = nodes.select("node", "block", band.alias("bucket"))
-    heads = (banded.groupBy("bucket")
-             .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "block")).alias("h1"),
-                  F.min(F.struct(F.xxhash64("node").alias("x"), F.col("node"), F.col("block"))).alias("h2"))
-             .where("n > 1"))
-    heads = materialize(heads, "near-heads")
-    banded = materialize(banded.join(heads.select("bucket"), "bucket", "left_semi"), "near-banded")
-    met = banded.join(heads, "bucket")
-    met = met.select("node", "block", F.explode(F.array(
-        F.struct(F.col("h1.node").alias("node"), F.col("h1.block").alias("block")),
-        F.struct(F.col("h2.node").alias("node"), F.col("h2.block").alias("block")))).alias("h")).where("node != h.node")
+    banded = nodes.select("node", "block", "sig", band.alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    banded = materialize(banded.join(sizes.select("bucket"), "bucket", "left_semi"), "near-banded")
+    heads = materialize(banded.groupBy("bucket").agg(F.array(*[
+        F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), F.col("node"), F.col("block"), F.col("sig")))
+        for k in range(HEADS)]).alias("heads")), "near-heads")
+    met = banded.join(heads, "bucket").select("node", "block", "sig", F.explode(F.array_distinct(F.transform(
+        "heads", lambda x: F.struct(x["node"].alias("node"), x["block"].alias("block"), x["sig"].alias("sig"))))).alias("h"))
+    met = met.where("node != h.node").where(_agreeing("sig", "h.sig") >= AGREE)
     first = F.col("node") < F.col("h.node")
     pairs = materialize(met.select(
         F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"),
@@ -252,11 +258,10 @@ def _classes(staged: DataFrame, spark, threshold: float) -> DataFrame:
     placed = banded.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2")
     mixed = materialize(mixed.select("bucket"), "near-mixed")
-    open_ = materialize(placed.join(mixed, "bucket", "left_semi").join(nodes.select("node", "sig"), "node"), "near-open")
+    open_ = materialize(placed.join(mixed, "bucket", "left_semi"), "near-open")
     left, right = open_.alias("l"), open_.alias("r")
-    agree = F.size(F.filter(F.zip_with("l.sig", "r.sig", lambda x, y: x == y), lambda x: x))
     more = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node"))
-                     & (F.col("l.comp") != F.col("r.comp")) & (agree >= AGREE)).select(
+                     & (F.col("l.comp") != F.col("r.comp")) & (_agreeing("l.sig", "r.sig") >= AGREE)).select(
         F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.block").alias("block_a"),
         F.col("r.block").alias("block_b")).distinct()
     more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
