@@ -106,7 +106,7 @@ SIZE_UNITS = ["Bytes", "KB", "MB", "GB"]
 def human_size(col) -> Column:
     """Bytes as ``<value> <unit>``, base 1024, at most 2 decimals, trailing zeros dropped."""
     b = _c(col).cast("double")
-    exp = F.floor(F.log(1024.0, b)).cast("int")
+    exp = F.least(F.floor(F.log(1024.0, b)).cast("int"), F.lit(len(SIZE_UNITS) - 1))  # the largest unit has no end
     val = F.round(b / F.pow(F.lit(1024.0), exp), 2)
     units = F.array(*[F.lit(u) for u in SIZE_UNITS])
     # 12.50 -> 12.5, 3.00 -> 3 (the value is printed as its shortest decimal)

@@ -25,8 +25,8 @@ def validate_intake(files: DataFrame, *, name_col: str = "filename", size_col: s
                     batch_col: str = "batch_id", extensions=D.ALLOWED_EXTENSIONS,
                     max_file: int = D.MAX_FILE_BYTES, max_batch: int = D.MAX_BATCH_BYTES) -> DataFrame:
     """Adds ``extension``, ``status`` (processed / rejected) and ``error``."""
-    totals = files.groupBy(batch_col).agg(F.sum(size_col).alias("_batch_bytes"))
-    f = files.join(totals, batch_col)
+    totals = files.groupBy(F.col(batch_col).alias("_batch")).agg(F.sum(size_col).alias("_batch_bytes"))
+    f = files.join(totals, F.col(batch_col).eqNullSafe(F.col("_batch")))  # files without a batch are one batch
     ext = extension(name_col)
     allowed = ext.isin([e.lower() for e in extensions])
     too_big_batch = F.col("_batch_bytes") > F.lit(max_batch)

@@ -208,31 +208,10 @@ def best_match_from_terms(tr: DataFrame, tj: DataFrame, vocab: Vocabulary, *,
     zero = text_ids(tr).select(F.col("id").alias("resume_id"),
                                F.lit(first_job).cast("long").alias("job_id"),
                                F.lit(0.0).alias("score"))
-    # arg-max packed into one long (score in millionths, high bits; the job id
-    # inverted in the low 43 bits so the smallest id wins ties) keeps the
-    # reduction a plain hash aggregation with map-side partial results.
+    # The largest score, then the smallest id: ~id falls as id rises, for any long.
     best = (scored.unionByName(zero).groupBy("resume_id")
-            .agg(F.max(pack_score_id("score", "job_id", digits)).alias("k")))
-    return best.select("resume_id", unpack_id("k").alias("job_id"),
-                       unpack_score("k", digits).alias("match_score"))
-
-
-ID_BITS = 43
-ID_MASK = (1 << ID_BITS) - 1
-
-
-def pack_score_id(score: str, id_col: str, digits: int) -> Column:
-    """Sortable long: round(score·10^digits) << 43 | (2^43 − 1 − id); ids must be < 2^43."""
-    q = F.round(F.col(score) * F.lit(10.0 ** digits)).cast("long")
-    return F.shiftleft(q, ID_BITS) + (F.lit(ID_MASK) - F.col(id_col))
-
-
-def unpack_id(key: str) -> Column:
-    return (F.lit(ID_MASK) - (F.col(key).bitwiseAND(F.lit(ID_MASK)))).cast("long")
-
-
-def unpack_score(key: str, digits: int) -> Column:
-    return F.round(F.shiftright(F.col(key), ID_BITS).cast("double") / F.lit(10.0 ** digits), digits)
+            .agg(F.max(F.struct("score", F.bitwise_not("job_id").alias("later"))).alias("k")))
+    return best.select("resume_id", F.bitwise_not("k.later").alias("job_id"), F.col("k.score").alias("match_score"))
 
 
 def rowwise_cosine(pairs: DataFrame, left_w: DataFrame, right_w: DataFrame,
