@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from vitae.llm.tokenizing import encoded
 from vitae.session import ensure_checkpoint_dir
@@ -69,7 +70,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def ids_crc32(tokens: pa.Array) -> pa.Array:
     """Unsigned CRC-32 of each list's ids as little-endian unsigned 32-bit integers."""
     offsets = tokens.offsets.to_numpy()
