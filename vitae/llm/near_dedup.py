@@ -8,12 +8,17 @@ sampling (Ioffe, 2010) draws HASHES samples whose chance to agree is the
 weighted Jaccard similarity; BANDS bands of them make the candidates.
 
 Equal texts count as one node. In each bucket every node is compared with
-HEADS nodes of that bucket drawn by hash (all of a small bucket); then nodes of
-one bucket that are still in different classes are all compared. A comparison
+HEADS nodes of that bucket drawn by hash (all of a small bucket). A comparison
 first asks that AGREE of the samples agree, which a pair exactly at the
 threshold fails with a chance of 0.4 %; a pair links if its weighted Jaccard
 similarity, computed from the texts, is at least the threshold.
 
+Nodes of one bucket that are then still in different classes get MORE further
+samples, and all their pairs are met in blocks of PART by PART nodes, each
+block in a call of its own. Only pairs of which ALL_AGREE of all samples agree
+leave a block (a pair exactly at the threshold is missed with a chance of
+0.2 %), each from the first band it shares, and are compared by their texts.
+
 Defined cases: a null or empty text has no shingles and is a class of its own;
 equal texts share a class; texts of any length are read whole; repeated rows
 and ids are rows of one class, and exactly one row of a class is kept, that
@@ -43,11 +48,15 @@ HASHES = BANDS * ROWS
 AGREE = 43
 #: Nodes of a bucket, drawn by hash, that all its nodes are compared with.
 HEADS = 8
+#: Further samples of the nodes that the heads left open, and how many of all samples must agree there.
+MORE, ALL_AGREE = 256, 236
+#: Nodes on one side of a block of pairs.
+PART = 256
 CELL_BITS = 20
 IDF_SHARE = 0.25
 _HASH = WordHash(seed=606)
 _U = np.uint64
-_SEEDS = np.array([mix_int(1000 + j) | 1 for j in range(HASHES)], _U)
+_SEEDS = np.array([mix_int(1000 + j) | 1 for j in range(HASHES + MORE)], _U)
 
 
 def _gamma2(n: int) -> np.ndarray:
@@ -104,9 +113,10 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - CELL_BITS)).astype(np.int64)
 
 
-def samples(first: np.ndarray, h: np.ndarray, ln_weight: np.ndarray) -> np.ndarray:
-    """HASHES 32-bit samples of each document (rows without shingles are zero)."""
-    out = np.zeros((len(first) - 1, HASHES), np.uint32)
+def samples(first: np.ndarray, h: np.ndarray, ln_weight: np.ndarray,
+            seeds: np.ndarray = _SEEDS[:HASHES]) -> np.ndarray:
+    """A 32-bit sample of each document for each seed (rows without shingles are zero)."""
+    out = np.zeros((len(first) - 1, len(seeds)), np.uint32)
     filled = np.flatnonzero(np.diff(first) > 0)
     d = _draws()
     i = 0
@@ -118,10 +128,10 @@ def samples(first: np.ndarray, h: np.ndarray, ln_weight: np.ndarray) -> np.ndarr
         docs = filled[i:j]
         hi = first[docs[-1] + 1]
         x, lw, starts = h[lo:hi], ln_weight[lo:hi], first[docs] - lo
-        for k in range(HASHES):
-            u = (x ^ _SEEDS[k]) * _U(0xD6E8FEB86659FD93)
+        for k, seed in enumerate(seeds):
+            u = (x ^ seed) * _U(0xD6E8FEB86659FD93)
             u ^= u >> _U(32)
-            u *= _SEEDS[k]
+            u *= seed
             u ^= u >> _U(29)
             low = u.astype(np.uint32)
             ri = (low & np.uint32(0xFFF)).astype(np.int32)
@@ -162,6 +172,12 @@ def cell_weights(staged: DataFrame) -> np.ndarray:
     return np.log(1 + IDF_SHARE * np.maximum(np.log((1 + n) / (1 + df)), 0) / np.log(1 + n)).astype(np.float32)
 
 
+def _lists(sig: np.ndarray) -> pa.ListArray:
+    n, width = sig.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width),
+                                    pa.array(sig.view(np.int32).ravel()))
+
+
 def _signatures(staged: DataFrame, weights) -> DataFrame:
     def sign(batches):
         table = weights.value
@@ -175,9 +191,7 @@ def _signatures(staged: DataFrame, weights) -> DataFrame:
                 key = [hashlib.md5(raw[a:b]).digest() for a, b in zip(o[:-1], o[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(3), pa.array(key, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, HASHES * len(key) + 1, HASHES, dtype=np.int32)),
-                                              pa.array(sig.view(np.int32).ravel())),
-                     pa.array(np.diff(first) > 0)], ["block", "doc_id", "row", "key", "sig", "filled"])
+                     _lists(sig), pa.array(np.diff(first) > 0)], ["block", "doc_id", "row", "key", "sig", "filled"])
 
     return staged.mapInArrow(sign, "block long, doc_id long, row long, key binary, sig array<int>, filled boolean")
 
@@ -219,6 +233,44 @@ def _verified(staged: DataFrame, pairs: DataFrame, weights, threshold: float) ->
     return materialize(both.mapInArrow(compare, "a long, b long"), "near-links")
 
 
+def _further(staged: DataFrame, wanted: DataFrame, weights) -> DataFrame:
+    """(node, more): the further samples of the rows of ``wanted`` (row, block)."""
+    def sign(docs: pa.Table, keys: pa.Table) -> pa.Table:
+        table = weights.value
+        docs = docs.filter(pc.is_in(docs["row"], keys["row"])).select(["row", "text"]).combine_chunks()
+        rows, out = [np.zeros(0, np.int64)], [np.zeros((0, MORE), np.uint32)]
+        for batch in docs.to_batches():
+            for part in slices(batch, "text"):
+                first, h, n = shingles(texts_of(part.column(1)))
+                rows.append(part.column(0).to_numpy())
+                out.append(samples(first, h, np.log(n).astype(np.float32) + table[_cells(h)], _SEEDS[HASHES:]))
+        return pa.table({"node": pa.array(np.concatenate(rows)), "more": _lists(np.concatenate(out))})
+
+    return blocks.with_keys(staged, wanted, sign, "node long, more array<int>")
+
+
+def _meet(rows: pa.Table) -> pa.Table:
+    """The pairs of a block's two parts that are in different classes and whose samples agree."""
+    rows = rows.combine_chunks()
+    p, q, band = (rows[c][0].as_py() for c in ("p", "q", "band"))
+    node, block, comp, side = (rows[c].to_numpy() for c in ("node", "block", "comp", "side"))
+    sig = rows["sig"].chunk(0).flatten().to_numpy().reshape(len(node), HASHES + MORE)
+    a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
+    left, right = np.ascontiguousarray(sig[a].T), np.ascontiguousarray(sig[b].T)
+    same = np.zeros((len(a), len(b)), np.int16)
+    for x, y in zip(left, right):
+        same += x[:, None] == y[None, :]
+    i, j = np.nonzero((same >= ALL_AGREE) & (comp[a][:, None] != comp[b][None, :]))
+    i, j = a[i], b[j]
+    if p == q:
+        i, j = i[i < j], j[i < j]
+    bands = (sig[i, :HASHES] == sig[j, :HASHES]).reshape(-1, BANDS, ROWS).all(2)
+    once = bands.any(1) & (bands.argmax(1) == band)  # each pair leaves one bucket only
+    i, j = i[once], j[once]
+    low, high = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+    return pa.table({"a": node[low], "b": node[high], "block_a": block[low], "block_b": block[high]})
+
+
 def _agreeing(one: str, other: str):
     """How many of two nodes' samples agree."""
     return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda x: x))
@@ -236,9 +288,9 @@ def _classes(staged: DataFrame, spark, threshold: float) -> DataFrame:
     nodes = materialize(signed.where("filled").groupBy("key").agg(F.min_by(F.struct("row", "block", "sig"), "row").alias("x"))
                         .select("key", F.col("x.row").alias("node"), F.col("x.block").alias("block"),
                                 F.col("x.sig").alias("sig")), "near-nodes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                                 lambda k: F.xxhash64(F.slice("sig", k * ROWS + 1, ROWS), k)))
-    banded = nodes.select("node", "block", "sig", band.alias("bucket"))
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
+                                    lambda k: F.xxhash64(F.slice("sig", k * ROWS + 1, ROWS), k)))
+    banded = nodes.select("node", "block", "sig", band.alias("band", "bucket"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     banded = materialize(banded.join(sizes.select("bucket"), "bucket", "left_semi"), "near-banded")
     heads = materialize(banded.groupBy("bucket").agg(F.array(*[
@@ -256,14 +308,18 @@ def _classes(staged: DataFrame, spark, threshold: float) -> DataFrame:
     comp = materialize(components(links), "near-components")
 
     placed = banded.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2")
-    mixed = materialize(mixed.select("bucket"), "near-mixed")
-    open_ = materialize(placed.join(mixed, "bucket", "left_semi"), "near-open")
-    left, right = open_.alias("l"), open_.alias("r")
-    more = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node"))
-                     & (F.col("l.comp") != F.col("r.comp")) & (_agreeing("l.sig", "r.sig") >= AGREE)).select(
-        F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.block").alias("block_a"),
-        F.col("r.block").alias("block_b")).distinct()
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
+                                         F.count(F.lit(1)).alias("n")).where("c1 != c2")
+    mixed = materialize(mixed.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "near-mixed")
+    open_ = materialize(placed.join(mixed, "bucket"), "near-open")
+    further = materialize(_further(staged, open_.select(F.col("node").alias("row"), "block").distinct(), weights),
+                          "near-further")
+    spread = (open_.join(further, "node").withColumn("sig", F.concat("sig", "more"))
+              .withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"),
+                      "side", "band", "node", "block", "comp", "sig"))
+    more = spread.groupBy("bucket", "p", "q").applyInArrow(_meet, "a long, b long, block_a long, block_b long")
     more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
         links = links.unionByName(_verified(staged, more, weights, threshold))
