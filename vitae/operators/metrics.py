@@ -17,7 +17,6 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitae.functions import dictionaries as D
 from vitae.session import materialize
@@ -329,37 +328,21 @@ def histogram(df: DataFrame, col: str, bins: int = 20, digits: int = 6) -> DataF
 def rank_within(df: DataFrame, by: str, order: Column, out: str = "rank") -> DataFrame:
     """0-based rank of each row within its ``by`` group, ascending ``order``.
 
-    A range-partitioned sort spreads every group over many tasks; each task
-    numbers its rows per group (Arrow batches, pandas cumcount), the per-task
-    group counts (tasks × groups rows) become offsets, and a broadcast join adds
-    them. No task holds a whole group.
+    A range-partitioned sort spreads every group over many tasks and numbers
+    the rows in order; a row's rank is its distance from the first row of its
+    group in its task, plus the group's rows in earlier tasks (one row per task
+    and group is added up). No task holds a whole group.
     """
-    keyed = df.withColumn("_ord", order)
-    ranged = keyed.repartitionByRange(by, "_ord").sortWithinPartitions(by, "_ord")
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.IntegerType()),
-                                                  T.StructField("_lr", T.LongType())])
-
-    def number(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        seen: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            base = pdf[by].map(lambda g: seen.get(g, 0)).astype("int64")
-            local = pdf.groupby(by, sort=False).cumcount().astype("int64")
-            pdf = pdf.assign(_pid=pid, _lr=base + local)
-            for g, n in pdf.groupby(by, sort=False).size().items():
-                seen[g] = seen.get(g, 0) + int(n)
-            yield pdf
-
-    numbered = materialize(ranged.mapInPandas(number, schema), "ranked")
-    counts = numbered.groupBy("_pid", by).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (numbered.join(F.broadcast(offsets), ["_pid", by])
-            .withColumn(out, (F.col("_lr") + F.col("_off")).cast("long"))
-            .drop("_pid", "_lr", "_off", "_ord"))
+    ranged = df.withColumn("_ord", order).repartitionByRange(by, "_ord").sortWithinPartitions(by, "_ord").drop("_ord")
+    numbered = materialize(ranged.withColumn("_pid", F.spark_partition_id())
+                           .withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (numbered.groupBy(F.col("_pid").alias("_p"), F.col(by).alias("_g"))
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")))
+    return (numbered.join(offsets, (F.col("_pid") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_g")))
+            .withColumn(out, (F.col("_at") + F.col("_off")).cast("long"))
+            .drop("_pid", "_at", "_p", "_g", "_n", "_first", "_off"))
 
 
 def hash_order(id_col: str, seed: int = 42) -> Column:

@@ -21,6 +21,7 @@ from vitae.functions import dictionaries as D
 from vitae.functions.text import clean, strip_ws, words
 from vitae.operators import features as FT
 from vitae.operators import tfidf
+from vitae.operators.metrics import rank_within
 
 MODES = ("casual_skills", "strict_skills", "casual_full", "strict_full")
 
@@ -251,12 +252,13 @@ def screen(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, mode: str,
 # ----------------------------------------------------------------- reports ---
 
 def rank_results(results: DataFrame, by: str = "job_id") -> DataFrame:
-    """Results ordered by score, best first, per job; stable on resume id.
+    """Results with their rank per job, best score first, then smallest resume id.
 
     A distributed range sort: a job with very many applicants spreads over
     several tasks instead of one.
     """
-    return results.orderBy(F.col(by), F.col("score").desc(), F.col("resume_id"))
+    ranked = rank_within(results, by, F.struct((-F.col("score")).alias("s"), F.col("resume_id")))
+    return ranked.withColumn("rank", F.col("rank") + 1)
 
 
 def top_k(results: DataFrame, k: int = 10, by: str = "job_id") -> DataFrame:

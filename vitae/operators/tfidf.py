@@ -72,6 +72,18 @@ def term_table(df: DataFrame, id_col: str, text_col: str, clean_mode: str | None
             .select("id", "term", F.col("cnt").cast("long").alias("cnt")))
 
 
+def representatives(df: DataFrame, id_col: str, text_col: str, clean_mode: str = "delete") -> DataFrame:
+    """``(id, rep)``: the id under which ``term_table`` keeps each row's text.
+
+    The smallest id per digest is a partial aggregation, so a text that very
+    many rows share is no hot group; the join back is by digest.
+    """
+    rows = materialize(df.select(F.col(id_col).cast("long").alias("id"),
+                                 F.md5(clean(F.col(text_col), clean_mode)).alias("digest")), "digests")
+    reps = rows.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("rep"))
+    return rows.join(reps, F.col("digest").eqNullSafe(F.col("d"))).select("id", "rep")
+
+
 def text_ids(tt: DataFrame) -> DataFrame:
     """One row per distinct text of a term table."""
     return tt.select("id").distinct()

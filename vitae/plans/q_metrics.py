@@ -1,7 +1,7 @@
 """Registered queries: evaluation of best-match scores against true labels.
 
-The scored table: each distinct resume's best-match score (the flagship),
-joined to ``labels.quality`` as the true class; the predicted class is the
+The scored table: every labelled resume with the best-match score of its text
+(the flagship), and ``labels.quality`` as the true class; the predicted class is the
 skills label rule ``score > 0.18`` (B7).
 """
 
@@ -20,18 +20,21 @@ T_SKILLS = D.LABEL_THRESHOLD_SKILLS
 
 
 def scored(spark, sf_dir):
-    best = tfidf.best_match(table(spark, sf_dir, "documents", "doc_id", "text"),
-                            table(spark, sf_dir, "benchmark", "item_id", "text"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    best = tfidf.best_match(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
-    return best.join(labels, best.resume_id == labels.doc_id).select(
-        F.col("resume_id").alias("id"), F.col("quality").cast("int").alias("y"),
+    reps = tfidf.representatives(docs, "doc_id", "text")
+    named = labels.join(reps, F.col("doc_id") == F.col("id")).select("id", "rep", "quality")
+    return named.join(best, F.col("rep") == F.col("resume_id")).select(
+        "id", F.col("quality").cast("int").alias("y"),
         F.col("match_score").alias("score"), M.label("match_score", T_SKILLS).alias("yhat"))
 
 
 SCORED = S.best_match_ctes() + f""",
-scored AS (SELECT b.resume_id AS id, CAST(l.quality AS INTEGER) AS y, b.match_score AS score,
+scored AS (SELECT l.doc_id AS id, CAST(l.quality AS INTEGER) AS y, b.match_score AS score,
                   CAST(b.match_score > {T_SKILLS} AS INTEGER) AS yhat
-           FROM best b JOIN labels l ON l.doc_id = b.resume_id),
+           FROM labels l JOIN r_clean c ON c.id = l.doc_id JOIN r_dist d ON d.t IS NOT DISTINCT FROM c.t
+           JOIN best b ON b.resume_id = d.id),
 sc AS (SELECT round(score, 6) AS threshold, count(*) FILTER (WHERE y = 1) AS pos,
               count(*) FILTER (WHERE y <> 1) AS neg FROM scored GROUP BY round(score, 6)),
 run AS (SELECT threshold,

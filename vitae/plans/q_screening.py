@@ -24,6 +24,9 @@ from vitae.sources import views as V
 # The example model packages (intercept, coefficients).
 CASUAL_SKILLS_MODEL = (-3.0, (12.0,))
 FULL_STRICT_MODEL = (-1.0, (2.0, 0.5, 0.3, 0.4, 1.5))
+FULL_CASUAL_MODEL = (-1.5, (1.6, 0.4, 0.1, 0.5, 2.0))
+FULL = {"strict_full": (FULL_STRICT_MODEL, D.WEIGHTS_STRICT, D.DECISION_THRESHOLD_STRICT),
+        "casual_full": (FULL_CASUAL_MODEL, D.WEIGHTS_CASUAL, D.DECISION_THRESHOLD_CASUAL)}
 
 
 def _inputs(spark, sf_dir):
@@ -31,13 +34,13 @@ def _inputs(spark, sf_dir):
             V.job_postings(spark, sf_dir))
 
 
-def full_strict_results(spark, sf_dir):
+def full_results(spark, sf_dir, mode="strict_full"):
     pairs, cands, jobs = _inputs(spark, sf_dir)
     vocab = SC.fit_full_vocabulary(cands)
     feats = materialize(SC.full_features(pairs, cands, jobs, vocab), "full_features")
-    b0, coefs = FULL_STRICT_MODEL
+    (b0, coefs), _, _ = FULL[mode]
     pkg = SC.ModelPackage(b0, coefs, vocabulary=vocab, scaler=SC.fit_full_scaler(feats))
-    return SC.score_full(feats, pkg, "strict_full")
+    return SC.score_full(feats, pkg, mode)
 
 
 def _sigmoid_sql(terms: list[str], b0: float, coefs) -> str:
@@ -97,11 +100,11 @@ def screen_casual_skills(spark, sf_dir):
                      "casual_skills", SC.ModelPackage(b0, coefs))
 
 
-# ------------------------------------------------------------ full strict ---
+# ------------------------------------------------------------- full modes ---
 
-def _full_strict_ctes() -> str:
-    b0, coefs = FULL_STRICT_MODEL
-    w = [float(x) for x in D.WEIGHTS_STRICT]
+def _full_ctes(mode: str = "strict_full") -> str:
+    (b0, coefs), weights, threshold = FULL[mode]
+    w = [float(x) for x in weights]
     lower_strip = "lambda x: regexp_replace(lower(x), '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
     edu_vals = ", ".join(f"({sql_str(t)}, {float(l)})" for t, l in D.DEGREE_LEVELS_SERVING.items())
     feats = FT.FEATURES
@@ -144,7 +147,7 @@ fs_out AS (
   FROM fs_raw r, fs_st st),
 results AS (
   SELECT resume_id, job_id, name AS file_name, round(score, 6) AS score,
-         prob >= {D.DECISION_THRESHOLD_STRICT} AS prediction, round(prob, 6) AS probability,
+         prob >= {threshold} AS prediction, round(prob, 6) AS probability,
          list_filter(coalesce(r_skills, []), lambda s: list_contains(
              list_transform(coalesce(j_skills, []), lambda x: lower(x)), lower(s))) AS matched_skills,
          list_filter(coalesce(j_skills, []), lambda s: NOT list_contains(
@@ -152,29 +155,42 @@ results AS (
          list_filter(coalesce(r_certs, []), lambda s: list_contains(coalesce(j_certs, []), s)) AS matched_certifications,
          list_filter(coalesce(j_certs, []), lambda s: NOT list_contains(coalesce(r_certs, []), s))
            AS missing_certifications,
-         'strict_full' AS model_used, round(skill_similarity, 6) AS skill_similarity,
+         '{mode}' AS model_used, round(skill_similarity, 6) AS skill_similarity,
          round(education_score * 5, 6) AS education_score,
          CAST(trunc(certification_count * 10) AS INTEGER) AS certification_count,
          round(experience_score * 20, 6) AS experience_score, round(keyword_match, 6) AS keyword_match
   FROM fs_out)"""
 
 
-@register("screen_full_strict", f"WITH {_full_strict_ctes()}\nSELECT * FROM results")
+@register("screen_full_strict", f"WITH {_full_ctes()}\nSELECT * FROM results")
 def screen_full_strict(spark, sf_dir):
     """Full-profile strict screening of every application (M15, M16, M4, M6, M10, B8, B12,
     H7, H21–H24, H26, C6 substring, C7, C8, D7, D25)."""
-    return full_strict_results(spark, sf_dir)
+    return full_results(spark, sf_dir)
 
 
-@register("screen_top10", f"""WITH {_full_strict_ctes()}
+@register("screen_casual_full", f"WITH {_full_ctes('casual_full')}\nSELECT * FROM results")
+def screen_casual_full(spark, sf_dir):
+    """Full-profile casual screening of every application."""
+    return full_results(spark, sf_dir, "casual_full")
+
+
+@register("screen_ranked", f"""WITH {_full_ctes()}
+SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, resume_id) AS rank FROM results""")
+def screen_ranked(spark, sf_dir):
+    """Every applicant with the rank among those of the job."""
+    return SC.rank_results(full_results(spark, sf_dir))
+
+
+@register("screen_top10", f"""WITH {_full_ctes()}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, resume_id) AS rank
                FROM results) x WHERE rank <= 10""")
 def screen_top10(spark, sf_dir):
     """Best 10 applicants per job."""
-    return SC.top_k(full_strict_results(spark, sf_dir), 10).withColumn("rank", F.col("rank").cast("long"))
+    return SC.top_k(full_results(spark, sf_dir), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("screen_report", f"""WITH {_full_strict_ctes()}
+@register("screen_report", f"""WITH {_full_ctes()}
 SELECT resume_id, job_id,
        CASE WHEN length(coalesce(file_name, 'N/A')) > 30 THEN substr(coalesce(file_name, 'N/A'), 1, 27) || '...'
             ELSE coalesce(file_name, 'N/A') END AS name,
@@ -185,14 +201,14 @@ SELECT resume_id, job_id,
 FROM results WHERE prediction""")
 def screen_report(spark, sf_dir):
     """Export rows of the positive view."""
-    res = full_strict_results(spark, sf_dir)
+    res = full_results(spark, sf_dir)
     return SC.report_rows(SC.filter_results(res, "positive"))
 
 
-@register("screen_summary", f"""WITH {_full_strict_ctes()}
+@register("screen_summary", f"""WITH {_full_ctes()}
 SELECT count(*) AS total, count(*) FILTER (WHERE prediction) AS matches,
        CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE prediction) * 100.0 / count(*), 1)
             ELSE 0.0 END AS match_percentage FROM results""")
 def screen_summary(spark, sf_dir):
     """Batch summary of a screening run."""
-    return SC.batch_summary(full_strict_results(spark, sf_dir))
+    return SC.batch_summary(full_results(spark, sf_dir))
