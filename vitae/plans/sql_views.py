@@ -18,18 +18,17 @@ def degree_case(col: str) -> str:
 
 
 VIEWS = f"""
-urgent AS (
+cust_lines AS (
   SELECT o.o_custkey, l.l_linenumber, p.p_name, p.p_brand, p.p_size
   FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-  JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE o.o_orderpriority = '1-URGENT'),
+  JOIN part p ON l.l_partkey = p.p_partkey),
 cand_skills AS (
   SELECT o_custkey, list_sort(list_distinct(list(w))) AS skills FROM (
-    SELECT o_custkey, unnest(string_split(p_name, ' ')) AS w FROM urgent WHERE l_linenumber = 1) s
+    SELECT o_custkey, unnest(string_split(p_name, ' ')) AS w FROM cust_lines WHERE l_linenumber = 1) s
   GROUP BY o_custkey),
 cand_certs AS (
   SELECT o_custkey, list_sort(list_distinct(list(p_brand))) AS certifications
-  FROM urgent WHERE p_size < 10 GROUP BY o_custkey),
+  FROM cust_lines WHERE p_size < 10 GROUP BY o_custkey),
 cand_fin AS (
   SELECT o_custkey, sum(date_diff('day', CAST(o_orderdate AS DATE), CAST(last_ship AS DATE))) AS days
   FROM (SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, max(l.l_shipdate) AS last_ship

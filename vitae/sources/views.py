@@ -1,8 +1,8 @@
 """Structured profiles derived from the order tables, built at query time.
 
 * ``candidate_profiles``: one row per customer — skills (distinct words of the
-  part names on the first line of the customer's ``1-URGENT`` orders), earned
-  certifications (distinct brands of small parts, ``p_size < 10``, in those
+  part names on the first line of each of the customer's orders), earned
+  certifications (distinct brands of small parts, ``p_size < 10``, in all
   orders), a degree from the market segment, and total days of finished work
   (per order with status ``F``: last shipment minus order date).
 * ``job_postings``: one row per part — required skills are the words of its name,
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vitae.session import materialize
 from vitae.sources.tables import table
 
 # Market segment -> degree text.
@@ -42,18 +43,16 @@ def _degree(col) -> F.Column:
 
 def candidate_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-                   "o_orderdate", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
     part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
 
-    urgent = (orders.where(F.col("o_orderpriority") == "1-URGENT")
-              .join(li, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(part, F.col("l_partkey") == F.col("p_partkey")))
-    skills = (urgent.where(F.col("l_linenumber") == 1)
+    lines = (orders.join(li, F.col("l_orderkey") == F.col("o_orderkey"))
+             .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    skills = (lines.where(F.col("l_linenumber") == 1)
               .select("o_custkey", F.explode(F.split("p_name", " ")).alias("w"))
               .groupBy("o_custkey").agg(F.array_sort(F.collect_set("w")).alias("skills")))
-    certs = (urgent.where(F.col("p_size") < 10)
+    certs = (lines.where(F.col("p_size") < 10)
              .groupBy("o_custkey").agg(F.array_sort(F.collect_set("p_brand")).alias("certifications")))
     finished = (orders.where(F.col("o_orderstatus") == "F")
                 .join(li, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -87,12 +86,16 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Application rows carrying both profiles; rows lacking either skill list dropped (B1)."""
-    c = candidate_profiles(spark, sf_dir)
+    """Application rows carrying both profiles; rows lacking either skill list dropped (B1).
+
+    Profiles and rows are stored once: what follows reads them many times.
+    """
+    c = materialize(candidate_profiles(spark, sf_dir), "candidates")
     j = job_postings(spark, sf_dir).select("job_id", F.col("skills").alias("skills_required"),
                                            F.col("certifications").alias("job_certifications"))
-    return (applications(spark, sf_dir).join(c, "resume_id").join(j, "job_id")
+    rows = (applications(spark, sf_dir).join(c, "resume_id").join(j, "job_id")
             .dropna(subset=["skills", "skills_required"]))
+    return materialize(rows, "training-rows")
 
 
 def resume_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +116,7 @@ def resume_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_year = F.year("l_shipdate")
     last = F.element_at(F.split("p_name", " "), -1)
     block = F.concat_ws("\n",
-                        F.concat(F.upper(F.substring(last, 1, 1)), F.lower(F.substring(last, 2, 1 << 20)),
+                        F.concat(F.upper(F.substring(last, 1, 1)), F.lower(F.substr(last, F.lit(2))),
                                  F.lit(" Engineer")),
                         F.lit("Acme Corp"),
                         F.concat(ship_year.cast("string"), F.lit(" - "), (ship_year + 1).cast("string")))
