@@ -283,8 +283,8 @@ def report_rows(results: DataFrame) -> DataFrame:
     """Export rows: defaults, Match/No Match, ``x.x%`` scores, joined lists,
     long names truncated to 27 characters + ``...`` (B9, B10)."""
     from vitae.functions.text import truncate_cell
-    # as a decimal: times 100 as a double, a half may fall just below one
-    pct = F.format_string("%.1f%%", F.round(F.col("score").cast("decimal(18,9)") * 100, 1).cast("double"))
+    # rounded as whole tenths of a percent: a score's half is a half only after both factors
+    pct = F.format_string("%.1f%%", F.round(F.col("score") * 100 * 10) / 10)
     return results.select(
         "resume_id", "job_id",
         truncate_cell(F.coalesce(F.col("file_name"), F.lit("N/A"))).alias("name"),
