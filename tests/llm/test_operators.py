@@ -293,6 +293,42 @@ def test_lm_is_a_distribution_and_learns():
     assert lm_scoring.gradient(w, c, x, y)[0] < before - 0.5
 
 
+def test_lm_counts_every_pair_of_whole_ids(spark):
+    """What follows a pair of ids that are no symbols is known, however many pairs are more frequent."""
+    rng = np.random.default_rng(8)
+    rare = [np.r_[3000, 3001, 3002, 99]] * 2  # behind 1999 more frequent ids: all three share one symbol
+    ids = rare + [np.r_[np.arange(100, 2099), np.arange(100, 2099), 99]] * 2 + [np.r_[rng.integers(0, 4000, 50), 99]]
+    c = lm_scoring.Counts(np.bincount(np.concatenate(ids), minlength=4000).astype(float), 99)
+    assert {c.symbol[3000], c.symbol[3001], c.symbol[3002]} == {lm_scoring.HEAD}
+    c.set_bigrams(np.ones((lm_scoring.HEAD + 1) ** 2))
+    c.set_trigrams(np.zeros(len(c.pairs) * (lm_scoring.HEAD + 1), np.int64))
+    c.times = np.r_[c.unigrams, len(ids)]
+    c.times[99] -= len(ids)
+    known, times = lm_scoring.Grams(ids, 4000).counted(np.ones(len(ids), bool))
+    want = collections.Counter()
+    for x in ids:
+        e = [4000, 4000, *x[:-1].tolist(), 4001]
+        want.update(4002 ** 3 + a * 4002 + b for a, b in zip(e, e[1:]))
+        want.update((a * 4002 + b) * 4002 + d for a, b, d in zip(e, e[1:], e[2:]))
+    assert dict(zip(known.tolist(), times.tolist())) == want
+    w = lm_scoring.initial()
+
+    def score(x):
+        return lm_scoring.gram_scores(lm_scoring.model_logs(w, c, [x]), c, lm_scoring.Grams([x], 4000), known, times, 1)[0]
+
+    seen, turned = rare[0], np.r_[3001, 3000, 3002, 99]
+    assert score(seen) > score(turned) + 0.5
+    assert abs(lm_scoring.model_scores(w, c, [seen]) - lm_scoring.model_scores(w, c, [turned]))[0] < 1e-4
+
+
+def test_grams_are_a_distribution():
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet(np.ones(50))
+    pair, triple = rng.integers(0, 5, 50), rng.integers(0, 3, 50)
+    whole = lm_scoring.gram_probability(p, np.full(50, pair.sum()), pair, np.full(50, triple.sum()), triple)
+    assert abs(whole.sum() - 1) < 1e-12 and (whole > 0).all()
+
+
 def test_sums_over_tasks(spark):
     def one(batches):
         n = np.zeros(40_000, np.int64)
