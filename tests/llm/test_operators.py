@@ -321,6 +321,44 @@ def test_lm_counts_every_pair_of_whole_ids(spark):
     assert abs(lm_scoring.model_scores(w, c, [seen]) - lm_scoring.model_scores(w, c, [turned]))[0] < 1e-4
 
 
+@pytest.mark.parametrize("flush", [7, 50_000])
+def test_lm_trains_on_all_windows(spark, monkeypatch, flush):
+    """Every id of a long text is a target of the training, with the ids before it, in each round."""
+    seen = []
+
+    class Here:  # the rows' function runs in this process
+        def __init__(self, rows):
+            self.rows, self.sparkSession = rows, spark
+
+        def where(self, _):
+            return self
+
+        def select(self, *_):
+            return self
+
+        def count(self):
+            return len(self.rows)
+
+        def mapInArrow(self, fn, _):
+            return list(fn([pa.RecordBatch.from_arrays([pa.array([r.astype("<u2").tobytes() for r in self.rows], pa.binary())], ["ids"])]))
+
+    def summed(batches, kind, size):
+        wide = np.float64 if kind is np.float64 else np.int64
+        return sum(np.frombuffer(b"".join(x.column(1).to_pylist()), kind).astype(wide) for x in batches)
+
+    monkeypatch.setattr(lm_scoring.blocks, "summed", summed)
+    monkeypatch.setattr(lm_scoring, "FLUSH", flush, raising=False)
+    monkeypatch.setattr(lm_scoring, "CONTEXTS", 64)
+    monkeypatch.setattr(lm_scoring, "learn", lambda w, c, x, y, seed: seen.append((x, y)) or w)
+    rng = np.random.default_rng(10)
+    ids = [np.r_[rng.integers(0, 99, n), 99] for n in (400, 5, 31, 0)]
+    counts, _ = lm_scoring.fit(Here(ids), 100, 99)
+    want = [lm_scoring.windows([counts.symbol[x] for x in ids], counts.start)[:2]] * lm_scoring.ROUNDS
+    assert all(len(x) <= flush for x, _ in seen)
+    for k in (0, 1):
+        assert np.concatenate([s[k] for s in seen]).tolist() == np.concatenate([w[k] for w in want]).tolist()
+
+
 def test_grams_are_a_distribution():
     rng = np.random.default_rng(9)
     p = rng.dirichlet(np.ones(50))
