@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -215,6 +216,30 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.report(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_bound_loses_no_pair():
+    """Pairs at the threshold, the code's worst case among them, always pass the bound."""
+    rng = np.random.default_rng(11)
+    for dim in (2, 3, 8, 64):
+        a = embedding_dedup._units(rng.standard_normal((400, dim)))
+        code, f = embedding_dedup.encode(a)
+        away = embedding_dedup._units(a * f[:, None] - code)  # straight away from the code
+        b = 0.9 * a + math.sqrt(1 - 0.81) * embedding_dedup._units(away - (away * a).sum(1, keepdims=True) * a)
+        found = {tuple(x) for x in embedding_dedup.candidates(a, b, 0.9).tolist()}
+        assert all((i, i) in found for i in range(400))
+
+
+def test_embedding_dedup_finds_all_pairs_at_the_threshold(spark):
+    """3000 separate pairs at cosine 0.9005, in several blocks: none is missed."""
+    rng = np.random.default_rng(12)
+    a = embedding_dedup._units(rng.standard_normal((3000, 64)))
+    e = rng.standard_normal(a.shape)
+    e = embedding_dedup._units(e - (e * a).sum(1, keepdims=True) * a)
+    m = np.concatenate([a, 0.9005 * a + math.sqrt(1 - 0.9005 ** 2) * e])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.report(rows).collect()}
+    assert got == {i: (1, i % 3000) for i in range(6000)}
+
+
 def test_cached_encoding_equals_the_library():
     texts = ["Plain words, and more. Twice.. a,b. it's.", " lead  two   three\n\nfour \n five  six ", "", " ", "x", "Ünï ÉCOLE. ça va,",
              "é Éa. <|endoftext|> <|ENDOFTEXT|> A.", "tab\tand\r\nreturn .", "I'LL 'S don't. 12.5, 1,000."]

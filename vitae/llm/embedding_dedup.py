@@ -1,17 +1,19 @@
 """Embedding near-dedup: randomised-rotation binary codes decide what needs an exact cosine.
 
 Unit vectors are rotated at random and kept as one sign bit per dimension with
-two stored factors (Gao & Long, RaBitQ, 2024): the code's own cosine with its
-vector makes the inner product estimated from the bits unbiased, and gives the
-estimate's standard deviation. Only pairs whose upper bound reaches the
-threshold are recomputed, in double precision from the stored vectors.
-
-Candidates share a bucket in one of several tables of random hyperplanes. The
-planes per table grow with the logarithm of the number of vectors, so buckets
-stay small, and the tables are as many as the wanted recall at the threshold
-asks for (``RECALL``; a pair more alike is found more surely). A bucket with
-more than ``PART`` vectors is cut into parts and every pair of parts is
-compared in a task of its own, so no pair of a bucket is left out.
+the code's cosine f with its vector (Gao & Long, RaBitQ, 2024). For a unit
+vector b at cosine s with the code of a, the angle of a and b is at least the
+difference of their angles with the code, so
+
+    <a, b> <= f * s + sqrt((1 - f^2) (1 - s^2))    (1 where s > f).
+
+Only pairs whose bound reaches the threshold are recomputed, in double precision
+from the stored vectors. The bound is proven, so no pair is lost.
+
+Every vector is compared with every vector of its length. The vectors lie in
+blocks of about ``PART``, one row each, and every pair of blocks is compared in
+one call, so work grows with the square of the number of vectors and no
+table of pairs is made: N vectors give (N / PART)^2 / 2 rows of two blocks.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; equal vectors link with each other and are
@@ -25,7 +27,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +34,13 @@ from vitae.llm.components import components
 from vitae.session import materialize
 
 THRESHOLD = 0.9
-#: Chance, by design, to find a pair that lies exactly at the threshold.
-RECALL = 0.99
-#: Vectors a bucket holds on average, and vectors compared in one task's block.
-AVERAGE, PART = 128, 512
-#: Standard deviations an estimate may be off before a pair is given up.
-BOUND = 4.0
+#: Vectors in one block, on average at most.
+PART = 2048
+#: More than what single precision can be wrong by in a bound.
+ROUNDING = 1e-4
 _EDGES = "node long, links long, root long"
 
 
-def _plan(n: int, threshold: float) -> tuple[int, int]:
-    """(planes per table, tables) for ``n`` vectors."""
-    planes = max(4, math.ceil(math.log2(max(n, 2) / AVERAGE)) if n > AVERAGE else 4)
-    same = (1 - math.acos(threshold) / math.pi) ** planes
-    return planes, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - same)))
-
-
 def _rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -71,60 +63,74 @@ def encode(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(rotated_a: np.ndarray, rotated_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (i, j) whose estimated inner product, plus its bound, reaches the threshold.
-
-    The estimate for a code c of vector a with cosine f is <c, b> / f; its
-    deviation is at most sqrt((1 - f*f) / f*f / (dim - 1)).
-    """
+    """Pairs (i, j) whose inner product's upper bound, worked out from the code of i, reaches the threshold."""
     code, f = encode(rotated_a)
-    estimate = (code.astype(np.float32) @ rotated_b.T.astype(np.float32)) / f[:, None].astype(np.float32)
-    slack = BOUND * np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / max(rotated_a.shape[1] - 1, 1))
-    return np.argwhere(estimate >= (threshold - slack - 1e-5)[:, None])
+    s = code.astype(np.float32) @ rotated_b.T.astype(np.float32)
+    # The bound reaches the threshold exactly where the angle with the code is at most the sum of both angles.
+    most = np.arccos(np.minimum(f, 1)) + math.acos(min(threshold, 1))
+    least = np.where(most < math.pi, np.cos(most), -2.0)
+    return np.argwhere(s >= (least - ROUNDING)[:, None])
 
 
 def _compare(threshold: float):
-    def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        table = rows["table"][0].as_py()
-        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
-        side = rows["side"].to_numpy()
-        node, weight = rows["node"].to_numpy(), rows["copies"].to_numpy()
-        unit = _units(_matrix(rows["vector"].chunk(0)))
-        keys = _matrix(rows["keys"].chunk(0))
-        turned = unit @ _rotation(unit.shape[1])
-        a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
-        pairs = []
-        for s in range(0, len(a), 512):
-            for r in range(0, len(b), 512):
-                x, y = a[s:s + 512], b[r:r + 512]
-                if p == q and x[0] > y[-1]:
-                    continue
-                found = candidates(turned[x], turned[y], threshold)
-                i, j = x[found[:, 0]], y[found[:, 1]]
-                if p == q:
-                    i, j = i[i < j], j[i < j]
-                for c in range(0, len(i), 8192):
-                    ii, jj = i[c:c + 8192], j[c:c + 8192]
-                    ok = np.einsum("ij,ij->i", unit[ii], unit[jj]) >= threshold
-                    ii, jj = ii[ok], jj[ok]
-                    first = (keys[ii] == keys[jj]).argmax(1) == table  # each pair counts in one table only
-                    pairs.append((ii[first], jj[first]))
-        i = np.concatenate([x for x, _ in pairs]) if pairs else np.zeros(0, np.int64)
-        j = np.concatenate([y for _, y in pairs]) if pairs else np.zeros(0, np.int64)
-        links = np.bincount(i, weight[j], minlength=len(node)) + np.bincount(j, weight[i], minlength=len(node))
-        label = node.copy()
-        while len(i):
-            low = label.copy()
-            np.minimum.at(low, i, label[j])
-            np.minimum.at(low, j, label[i])
-            if (low == label).all():
-                break
-            label = low
-        on = links > 0
-        return pa.table({"node": node[on], "links": links[on].astype(np.int64), "root": label[on]})
+    def block(row, k):
+        n = row[f"node_{k}"].as_py()
+        node, weight = np.frombuffer(n, np.int64), np.frombuffer(row[f"copies_{k}"].as_py(), np.int64)
+        return node, weight, np.frombuffer(row[f"vectors_{k}"].as_py(), np.float64).reshape(len(node), -1)
+
+    def compare(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {n: batch.column(k)[at] for k, n in enumerate(batch.schema.names)}
+                same = row["p"].as_py() == row["q"].as_py()
+                node, weight, unit = block(row, "p")
+                size = len(node)
+                if not same:
+                    other = block(row, "q")
+                    node, weight, unit = (np.concatenate(x) for x in zip((node, weight, unit), other))
+                turned = unit @ _rotation(unit.shape[1])
+                low, to = (0, size) if same else (size, len(node))
+                pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for x in range(0, size, 512):
+                    for y in range(low, to, 512):
+                        if same and y < x:
+                            continue
+                        found = candidates(turned[x:min(x + 512, size)], turned[y:min(y + 512, to)], threshold)
+                        i, j = x + found[:, 0], y + found[:, 1]
+                        if same and x == y:
+                            i, j = i[i < j], j[i < j]
+                        for c in range(0, len(i), 8192):
+                            ii, jj = i[c:c + 8192], j[c:c + 8192]
+                            ok = np.einsum("ij,ij->i", unit[ii], unit[jj]) >= threshold
+                            pairs.append((ii[ok], jj[ok]))
+                i, j = (np.concatenate(x) for x in zip(*pairs))
+                links = np.bincount(i, weight[j], minlength=len(node)) + np.bincount(j, weight[i], minlength=len(node))
+                label = node.copy()
+                while len(i):
+                    least = label.copy()
+                    np.minimum.at(least, i, label[j])
+                    np.minimum.at(least, j, label[i])
+                    if (least == label).all():
+                        break
+                    label = least
+                on = links > 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[on]), pa.array(links[on].astype(np.int64)), pa.array(label[on])],
+                    ["node", "links", "root"])
     return compare
 
 
+def _packed(rows: pa.Table) -> pa.Table:
+    """One row of the vectors of a block: their nodes, copies and unit vectors as bytes."""
+    rows = rows.combine_chunks()
+    unit = _units(_matrix(rows["vector"].chunk(0)))
+    return pa.table({
+        "dim": pa.array([unit.shape[1]], pa.int32()), "part": rows["part"].slice(0, 1).combine_chunks(),
+        "node": pa.array([rows["node"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
+        "copies": pa.array([rows["copies"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
+        "vectors": pa.array([unit.tobytes()], pa.binary())})
+
+
 def links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(rows, found): every row of ``vectors`` with its node, and what each node links to.
 
@@ -141,41 +147,22 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
         F.when(F.coalesce(usable, F.lit(False)), F.transform(double, lambda x: x + F.lit(0.0))).alias("vector")), "emb-rows")
     nodes = materialize(rows.where("vector is not null").groupBy("vector").agg(
         F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")), "emb-nodes")
-    planes, tables = _plan(nodes.count(), threshold)
-
-    @F.arrow_udf("array<long>")
-    def keys(column: pa.Array) -> pa.Array:
-        out = []
-        for dim, at, m in _groups(column):
-            h = np.random.default_rng([dim, planes, tables]).standard_normal((dim, planes * tables))
-            bits = (m @ h > 0).reshape(len(at), tables, planes)
-            out.append((at, (bits @ (np.int64(1) << np.arange(planes, dtype=np.int64))) * 4096 + dim))
-        key = np.zeros((len(column), tables), np.int64)
-        for at, k in out:
-            key[at] = k
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, tables, dtype=np.int32)), pa.array(key.ravel()))
-
-    keyed = materialize(nodes.withColumn("keys", keys("vector")), "emb-keys")
-    spread = keyed.select("node", "copies", "vector", "keys", F.posexplode("keys").alias("table", "key"))
-    sizes = (spread.select("table", "key").groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "emb-sizes")
-    spread = spread.join(sizes.select("table", "key", "parts"), ["table", "key"])
-    spread = spread.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("table", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"),
-                           "side", "node", "copies", "vector", "keys")
-    found = materialize(spread.groupBy("table", "key", "p", "q").applyInArrow(_compare(threshold), _EDGES), "emb-found")
+    sized = nodes.withColumn("dim", F.size("vector"))
+    parts = materialize(sized.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts")), "emb-parts")
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    blocks = materialize(sized.join(parts, "dim").withColumn("part", part).groupBy("dim", "part").applyInArrow(
+        _packed, "dim int, part long, node binary, copies binary, vectors binary"), "emb-blocks")
+    side = {k: blocks.select("dim", F.col("part").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("node", "copies", "vectors")])
+            for k in "pq"}
+    # The pairs of blocks are dealt by number; each side of a pair is looked up by its block.
+    met = parts.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn(
+        "q", F.explode(F.sequence("p", F.col("parts") - 1))).select("dim", "p", "q")
+    met = met.join(side["p"], ["dim", "p"]).join(side["q"], ["dim", "q"])
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "p", "q")
+    found = materialize(met.mapInArrow(_compare(threshold), _EDGES), "emb-found")
     return rows.join(nodes, "vector", "left").select("vec_id", "node", "copies"), found
 
 
-def _groups(column: pa.Array):
-    """(dimension, positions, matrix) for each vector length in the column."""
-    n = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    for dim in np.unique(n):
-        at = np.flatnonzero(n == dim)
-        yield int(dim), at, _matrix(column.take(pa.array(at)))
-
-
 def report(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows, found = links(vectors, threshold)
