@@ -187,6 +187,17 @@ def test_near_dedup(docs, none, rows):
     assert near_dedup.report(none).count() == 0
 
 
+def test_open_pairs_leave_a_block_well_below_the_threshold():
+    """Two nodes of which 225 of 320 samples agree (0.70; at similarity 0.8, 0.001 % have fewer) are compared."""
+    rng = np.random.default_rng(13)
+    a = rng.integers(0, 2**31, near_dedup.HASHES + near_dedup.MORE).astype(np.int32)
+    b = a.copy()
+    b[4:4 + len(a) - 225] += 1
+    rows = pa.table({"bucket": [9, 9], "p": [0, 0], "q": [0, 0], "side": [0, 0], "band": [0, 0], "node": [5, 3],
+                     "block": [1, 2], "comp": [5, 3], "sig": pa.array([a.tolist(), b.tolist()], pa.list_(pa.int32()))})
+    assert near_dedup._meet(rows).to_pylist() == [{"a": 3, "b": 5, "block_a": 2, "block_b": 1}]
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 2**63, 1000).astype(np.uint64)

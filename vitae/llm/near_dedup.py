@@ -16,8 +16,8 @@ similarity, computed from the texts, is at least the threshold.
 Nodes of one bucket that are then still in different classes get MORE further
 samples, and all their pairs are met in blocks of PART by PART nodes, each
 block in a call of its own. Only pairs of which ALL_AGREE of all samples agree
-leave a block (a pair exactly at the threshold is missed with a chance of
-0.2 %), each from the first band it shares, and are compared by their texts.
+leave a block (five standard deviations below what a pair exactly at the
+threshold has: missed with a chance of 0.0001 %, by all 16 bands with 0.02 %), each from the first band it shares, and are compared by their texts.
 
 Defined cases: a null or empty text has no shingles and is a class of its own;
 equal texts share a class; texts of any length are read whole; repeated rows
@@ -49,7 +49,7 @@ AGREE = 43
 #: Nodes of a bucket, drawn by hash, that all its nodes are compared with.
 HEADS = 8
 #: Further samples of the nodes that the heads left open, and how many of all samples must agree there.
-MORE, ALL_AGREE = 256, 236
+MORE, ALL_AGREE = 256, 220
 #: Nodes on one side of a block of pairs.
 PART = 256
 CELL_BITS = 20
