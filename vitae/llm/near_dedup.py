@@ -341,8 +341,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The kept row of each class, with the columns of ``docs``."""
+    """The row of each class with the smallest id (null before all), with the columns of ``docs``."""
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-docs")
-    kept = classes(numbered.select(F.col("__row").alias("doc_id"), "text"), threshold).where("kept").select(
-        F.col("doc_id").alias("__row"))
+    placed = classes(numbered.select(F.col("__row").alias("doc_id"), "text"), threshold).select(
+        F.col("doc_id").alias("__row"), "class_id")
+    ids = numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"))
+    kept = ids.join(placed, "__row").groupBy("class_id").agg(F.min(F.struct("doc_id", "__row")).alias("best")).select(
+        F.col("best.__row").alias("__row"))
     return numbered.join(materialize(kept, "near-kept"), "__row", "left_semi").select(*docs.columns)
