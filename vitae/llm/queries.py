@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vitae.llm import (embedding_dedup, exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup,
-                       token_output, toxicity)
+from vitae.llm import (embedding_dedup, exact_dedup, hard_negatives, lm_scoring, mixing, near_dedup, packing, quality,
+                       substring_dedup, token_output, toxicity)
 from vitae.sources.tables import table
 
 QUERIES = {}
@@ -69,3 +69,8 @@ def op7_embedding_dedup(spark, sf_dir):
 @query()
 def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query(hard_negatives.REPORT_SQL)
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.report(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
