@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vitae.llm import (conversations, embedding_dedup, exact_dedup, hard_negatives, lm_scoring, mixing, near_dedup,
-                       packing, quality, substring_dedup, token_output, toxicity)
+from vitae.llm import (conversations, embedding_dedup, exact_dedup, hard_negatives, html_extract, lm_scoring, mixing,
+                       near_dedup, packing, quality, substring_dedup, token_output, toxicity)
 from vitae.sources.tables import table
 
 QUERIES = {}
@@ -71,6 +71,11 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query()
+def op11_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query(conversations.REPORT_SQL)
 def op12_conversation_repair(spark, sf_dir):
     return conversations.report(table(spark, sf_dir, "conversations"))
