@@ -17,8 +17,10 @@ Scale notes
 * Copies of one text scale all its counts by the same factor, which unit
   length normalisation removes, so copies need no second pass.
 * Joins with the vocabulary and with the job side broadcast only after a row
-  count proves them small; otherwise they shuffle on ``term``, with hot terms
-  salted on the large side.
+  count proves them small; otherwise they shuffle on ``term``, with heavy terms
+  split by their measured frequency (``skew``).
+* The best match sums only pairs whose bound can still win (``impact``), unless
+  all pairs that share a term are few.
 """
 
 from __future__ import annotations
@@ -29,12 +31,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitae.functions.text import clean, terms
+from vitae.operators import impact
+from vitae.operators.skew import join_split
 from vitae.session import materialize, row_count_at_most
 
 # Rows of a table we allow to be broadcast to every task (each row is a term
 # and one or two numbers, well under 100 bytes).
 BROADCAST_ROWS = 2_000_000
 SCORE_DIGITS = 6
+# Common terms per weight of a resume up to which all of them are summed.
+DIRECT_ROWS = 8
 
 
 def _tokens(col, min_len: int, tokens: str):
@@ -141,7 +147,7 @@ def _join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     """Join, broadcasting ``small`` only when a row count proves it small."""
     if row_count_at_most(small, limit):
         return big.join(F.broadcast(small), on, how)
-    return big.hint("shuffle_hash").join(small, on, how)
+    return big.join(small, on, how)
 
 
 def weights(tt: DataFrame, vocab: Vocabulary, normalise: bool = True,
@@ -161,40 +167,25 @@ def weights(tt: DataFrame, vocab: Vocabulary, normalise: bool = True,
     return w
 
 
-def dot_products(left: DataFrame, right: DataFrame, limit: int = BROADCAST_ROWS,
-                 salt_buckets: int = 16, hot_share: float = 0.01) -> DataFrame:
+def dot_products(left: DataFrame, right: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Sparse dot products ``(lid, rid, dot)`` of two weight tables.
 
     Only pairs sharing a term are produced. When ``right`` is proven small it is
     broadcast and the per-pair sums are finished in the tasks that hold each
     ``left`` id (``left`` is partitioned by id), so no shuffle follows.
-    Otherwise both sides shuffle on ``(term, salt)``: terms that cover more than
-    ``hot_share`` of the left rows are split into ``salt_buckets`` by left id and
-    the right rows of those terms are copied to every bucket.
+    Otherwise both sides shuffle on the term, heavy terms split by their
+    measured frequency.
     """
     l = left.select(F.col("id").alias("lid"), "term", F.col("w").alias("lw"))
     r = right.select(F.col("id").alias("rid"), "term", F.col("w").alias("rw"))
-    if row_count_at_most(r, limit):
-        pairs = l.join(F.broadcast(r), "term")
-    else:
-        total = l.count()
-        hot = (l.groupBy("term").count()
-               .where(F.col("count") > max(1.0, hot_share * total))
-               .select("term", F.lit(True).alias("hot")))
-        l2 = (_join_small(l, hot, "term", "left")
-              .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("lid"), F.lit(salt_buckets)))
-                          .otherwise(F.lit(0))).drop("hot"))
-        r2 = (_join_small(r, hot, "term", "left")
-              .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                            .otherwise(F.array(F.lit(0))))).drop("hot"))
-        pairs = l2.join(r2, ["term", "salt"])
+    pairs = l.join(F.broadcast(r), "term") if row_count_at_most(r, limit) else join_split(l, r, ["term"])
     return pairs.groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("dot"))
 
 
 def best_match(resumes: DataFrame, jobs: DataFrame, *, id_col_r: str = "doc_id",
                text_col_r: str = "text", id_col_j: str = "item_id",
                text_col_j: str = "text", clean_mode: str = "delete",
-               digits: int = SCORE_DIGITS, limit: int = BROADCAST_ROWS) -> DataFrame:
+               digits: int = SCORE_DIGITS, limit: int = BROADCAST_ROWS, pruned: bool | None = None) -> DataFrame:
     """Best job per distinct resume text by TF-IDF cosine.
 
     The vocabulary is fitted on distinct resumes and distinct jobs together.
@@ -206,24 +197,39 @@ def best_match(resumes: DataFrame, jobs: DataFrame, *, id_col_r: str = "doc_id",
     tr = materialize(term_table(resumes, id_col_r, text_col_r, clean_mode), "terms_r")
     tj = materialize(term_table(jobs, id_col_j, text_col_j, clean_mode), "terms_j")
     vocab = fit_idf(tr, tj)
-    return best_match_from_terms(tr, tj, vocab, digits=digits, limit=limit)
+    return best_match_from_terms(tr, tj, vocab, digits=digits, limit=limit, pruned=pruned)
+
+
+def common_rows(left: DataFrame, right: DataFrame) -> int:
+    """Rows of the equi-join of two term tables on their terms, from the terms' counts alone."""
+    counts = [t.groupBy("term").agg(F.count(F.lit(1)).alias(n)) for t, n in ((left, "a"), (right, "b"))]
+    return int(counts[0].join(counts[1], "term").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
 
 
-def best_match_from_terms(tr: DataFrame, tj: DataFrame, vocab: Vocabulary, *,
-                          digits: int = SCORE_DIGITS, limit: int = BROADCAST_ROWS) -> DataFrame:
-    wr = weights(tr, vocab)
-    wj = weights(tj, vocab)
-    dots = dot_products(wr, wj, limit=limit)
-    scored = dots.select(F.col("lid").alias("resume_id"), F.col("rid").alias("job_id"),
-                         F.round("dot", digits).alias("score"))
+def best_match_from_terms(tr: DataFrame, tj: DataFrame, vocab: Vocabulary, *, digits: int = SCORE_DIGITS,
+                          limit: int = BROADCAST_ROWS, pruned: bool | None = None) -> DataFrame:
+    """``best_match`` from term tables. ``pruned`` None leaves it to the work which plan is taken.
+
+    All common terms are summed where they are at most ``DIRECT_ROWS`` for each
+    row of the resumes' weights, which is then work in proportion to them; else the index
+    ordered by impact sums only pairs that can win. Both give the same rows.
+    """
+    wr = materialize(weights(tr, vocab), "weights_r")
+    wj = materialize(weights(tj, vocab), "weights_j")
+    if pruned is None:
+        pruned = common_rows(wr, wj) > DIRECT_ROWS * wr.count()
+    if pruned:
+        scored = impact.best_scores(wr, wj, digits)
+    else:
+        scored = dot_products(wr, wj, limit=limit).select("lid", "rid", F.round("dot", digits).alias("score"))
+    # The largest score, then the smallest id: ~id falls as id rises, for any long. A score that rounds to 0
+    # ties with every job, also with those that share no term: the first one is named.
     first_job = tj.agg(F.min("id")).first()[0]
-    zero = text_ids(tr).select(F.col("id").alias("resume_id"),
-                               F.lit(first_job).cast("long").alias("job_id"),
-                               F.lit(0.0).alias("score"))
-    # The largest score, then the smallest id: ~id falls as id rises, for any long.
-    best = (scored.unionByName(zero).groupBy("resume_id")
-            .agg(F.max(F.struct("score", F.bitwise_not("job_id").alias("later"))).alias("k")))
-    return best.select("resume_id", F.bitwise_not("k.later").alias("job_id"), F.col("k.score").alias("match_score"))
+    zero = text_ids(tr).select(F.col("id").alias("lid"), F.lit(first_job).cast("long").alias("rid"), F.lit(0.0).alias("score"))
+    best = scored.unionByName(zero).groupBy("lid").agg(
+        F.max(F.struct("score", F.bitwise_not("rid").alias("later"))).alias("k"))
+    return best.select(F.col("lid").alias("resume_id"), F.bitwise_not("k.later").alias("job_id"),
+                       F.col("k.score").alias("match_score"))
 
 
 def rowwise_cosine(pairs: DataFrame, left_w: DataFrame, right_w: DataFrame,

@@ -26,6 +26,15 @@ def match_best(spark, sf_dir):
     return tfidf.best_match(_docs(spark, sf_dir), _jobs(spark, sf_dir))
 
 
+@register("match_best_resume", S.with_(
+    S.best_match_ctes("benchmark", "item_id", "text", "documents", "doc_id", "text"),
+    "SELECT resume_id AS job_id, job_id AS resume_id, match_score FROM best"))
+def match_best_resume(spark, sf_dir):
+    """Best distinct resume text per distinct job: each job meets all resumes, by the index ordered by impact."""
+    best = tfidf.best_match(_jobs(spark, sf_dir), _docs(spark, sf_dir), id_col_r="item_id", id_col_j="doc_id", pruned=True)
+    return best.select(F.col("resume_id").alias("job_id"), F.col("job_id").alias("resume_id"), "match_score")
+
+
 @register("tfidf_union", S.with_(",".join([
     S.term_ctes("r", "documents", "doc_id", "text"), S.term_ctes("j", "benchmark", "item_id", "text"),
     S.idf_cte("vocab", "r", "j"), S.weight_ctes("r", "vocab"), S.weight_ctes("j", "vocab")]),
