@@ -3,9 +3,11 @@
 Input is a *scored* table with a true class ``y`` (0/1), a ``score`` and, for
 class metrics, a predicted class ``yhat``.
 
-Scale: counts are one partial aggregation. Curves first aggregate to distinct
-scores (rounded to ``digits`` decimals, so at most 10^digits + 1 rows for
-scores in [0, 1]) and only that bounded table meets an ordered window.
+Scale: counts are one partial aggregation. Curves aggregate to distinct scores,
+unrounded, and take their running counts in two passes over ranges of them
+(``prefix.running_sums``); areas and best thresholds are then sums and maxima over rows
+that each know their own step. Quartiles come from counts alone
+(``prefix.order_statistics``). No task sees all scores or all values.
 Ranks within a class (splits, folds, oversampling) come from a range-partitioned
 sort plus per-partition offsets (``rank_within``): no task ever holds a class.
 """
@@ -14,11 +16,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitae.functions import dictionaries as D
+from vitae.operators.prefix import order_statistics, running_sums
 from vitae.session import materialize
 
 
@@ -134,125 +136,148 @@ def classification_report(df: DataFrame, y: str = "y", yhat: str = "yhat") -> Da
 
 # ---------------------------------------------------------------- curves ---
 
-def score_counts(df: DataFrame, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
-    """Positives and negatives per distinct (rounded) score: the bounded curve input."""
-    return (df.groupBy(F.round(F.col(score), digits).alias("threshold"))
+def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """Positives and negatives per distinct score: the curves' input."""
+    return (df.groupBy(F.col(score).alias("threshold"))
             .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
 
 
-def _running(counts: DataFrame) -> DataFrame:
-    """tp/fp of ``score >= threshold`` at each distinct threshold."""
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return counts.select(
-        "threshold",
-        F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(every).alias("P"), F.sum("neg").over(every).alias("N"))
+def _running(df: DataFrame, y: str, score: str) -> tuple[DataFrame, int, int]:
+    """(threshold, pos, neg, tp, fp at ``score >= threshold``), all positives, all negatives."""
+    run, totals = running_sums(score_counts(df, y, score), [F.col("threshold").desc()], ["pos", "neg"])
+    return run.withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"}), int(totals["pos"]), int(totals["neg"])
 
 
-def pr_curve(df: DataFrame, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
+def _precision(tp: Column, fp: Column, empty: float = 0.0) -> Column:
+    return F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(empty))
+
+
+def _pr_points(df: DataFrame, y: str, score: str) -> DataFrame:
+    """PR points with the step from the next higher threshold: its recall and precision."""
+    run, P, _ = _running(df, y, score)
+    tp, fp = F.col("tp"), F.col("fp")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    first = tp0 + fp0 == 0
+    recall, recall0 = ((tp / F.lit(P), tp0 / F.lit(P)) if P else (F.lit(1.0), F.when(first, 0.0).otherwise(1.0)))
+    return run.select("threshold", _precision(tp, fp).alias("precision"), recall.alias("recall"), "tp", "fp",
+                      _precision(tp0, fp0, 1.0).alias("precision0"), recall0.alias("recall0"))
+
+
+def pr_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Precision and recall when predicting ``score >= t`` at each distinct score,
     plus the closing point (precision 1, recall 0, threshold NULL) (D16)."""
-    run = _running(score_counts(df, y, score, digits))
-    prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(1.0)
-    pts = run.select("threshold", prec.alias("precision"), rec.alias("recall"),
-                     F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"))
     close = df.sparkSession.createDataFrame(
-        [(None, 1.0, 0.0, None, None)],
-        "threshold double, precision double, recall double, tp long, fp long")
-    return pts.unionByName(close)
+        [(None, 1.0, 0.0, None, None)], "threshold double, precision double, recall double, tp long, fp long")
+    return _pr_points(df, y, score).drop("precision0", "recall0").unionByName(close)
 
 
-def roc_curve(df: DataFrame, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
+def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """False and true positive rates at each distinct score, plus (0, 0)."""
-    run = _running(score_counts(df, y, score, digits))
-    fpr = F.when(F.col("N") > 0, F.col("fp") / F.col("N")).otherwise(F.lit(float("nan")))
-    tpr = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(float("nan")))
-    pts = run.select("threshold", fpr.alias("fpr"), tpr.alias("tpr"))
+    run, P, N = _running(df, y, score)
+    pts = run.select("threshold", *[(F.col(c) / F.lit(n) if n else F.lit(float("nan"))).alias(out)
+                                    for c, n, out in (("fp", N, "fpr"), ("tp", P, "tpr"))])
     start = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return pts.unionByName(start)
 
 
-def trapezoid(points: DataFrame, x: str, y: str, order: Column) -> DataFrame:
-    """Σ |Δx| · (y_i + y_{i-1}) / 2 along ``order``."""
-    w = Window.orderBy(order)
-    seg = points.select(
-        F.abs(F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2.0).toDF("a")
-    return seg.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
+def _total(steps: DataFrame, step: Column, name: str) -> DataFrame:
+    return steps.agg(F.round(F.coalesce(F.sum(step), F.lit(0.0)), 6).alias(name))
 
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
-    roc = roc_curve(df, y, score, digits)
-    order = F.coalesce(F.col("threshold"), F.lit(float("inf"))).desc()
-    return trapezoid(roc, "fpr", "tpr", order).select(F.round("area", 6).alias("roc_auc"))
+def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """Area under the ROC curve: a trapezoid per threshold, neg · (2 tp − pos) / 2 of P · N."""
+    run, P, N = _running(df, y, score)
+    area = F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0 / F.lit(P) / F.lit(N) if P and N else F.lit(float("nan"))
+    return _total(run, area, "roc_auc")
 
 
-def pr_auc(df: DataFrame, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
-    pr = pr_curve(df, y, score, digits)
-    order = F.coalesce(F.col("threshold"), F.lit(float("inf"))).desc()
-    return trapezoid(pr, "recall", "precision", order).select(F.round("area", 6).alias("pr_auc"))
+def pr_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """Area under the precision–recall curve by trapezoids."""
+    step = (F.col("recall") - F.col("recall0")) * (F.col("precision") + F.col("precision0")) / 2.0
+    return _total(_pr_points(df, y, score), step, "pr_auc")
 
 
-def average_precision(df: DataFrame, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
+def average_precision(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Σ (R_k − R_{k−1}) · P_k over thresholds from high to low, R_0 = 0."""
-    pr = pr_curve(df, y, score, digits).where(F.col("threshold").isNotNull())
-    w = Window.orderBy(F.col("threshold").desc())
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * F.col("precision")
-    return pr.select(step.alias("s")).agg(F.round(F.coalesce(F.sum("s"), F.lit(0.0)), 6)
-                                          .alias("average_precision"))
+    return _total(_pr_points(df, y, score), (F.col("recall") - F.col("recall0")) * F.col("precision"), "average_precision")
 
 
-def best_f1_threshold(df: DataFrame, y: str = "y", score: str = "score", digits: int = 6,
-                      eps: float = 1e-8) -> DataFrame:
+def best_f1_threshold(df: DataFrame, y: str = "y", score: str = "score", eps: float = 1e-8) -> DataFrame:
     """Threshold maximising ``2PR / (P + R + eps)``; first maximum in ascending order."""
-    pr = pr_curve(df, y, score, digits).where(F.col("threshold").isNotNull())
     f1 = 2 * (F.col("precision") * F.col("recall")) / (F.col("precision") + F.col("recall") + F.lit(eps))
-    best = pr.select(f1.alias("f1"), "threshold").agg(
+    best = _pr_points(df, y, score).select(f1.alias("f1"), "threshold").agg(
         F.max(F.struct(F.col("f1"), (-F.col("threshold")).alias("neg"))).alias("b"))
     return best.select((-F.col("b.neg")).alias("threshold"), F.round("b.f1", 6).alias("f1"))
 
 
-def strict_f1_threshold(df: DataFrame, y: str = "y", score: str = "score", digits: int = 6,
-                        margin: float = 0.03) -> DataFrame:
+def strict_f1_threshold(df: DataFrame, y: str = "y", score: str = "score", margin: float = 0.03) -> DataFrame:
     """Plain F1 ``2tp / (2tp + fp + fn)`` (0 if undefined) at each PR threshold; first
     maximum in ascending order, then ``min(1, t + margin)`` (D21)."""
-    pr = pr_curve(df, y, score, digits).where(F.col("threshold").isNotNull())
-    P = df.agg(F.count_if(F.col(y) == 1)).first()[0]
+    run, P, _ = _running(df, y, score)
     fn = F.lit(P) - F.col("tp")
     den = 2 * F.col("tp") + F.col("fp") + fn
     f1 = F.when(den > 0, 2.0 * F.col("tp") / den).otherwise(F.lit(0.0))
-    best = pr.select(f1.alias("f1"), "threshold").agg(
+    best = run.select(f1.alias("f1"), "threshold").agg(
         F.max(F.struct(F.col("f1"), (-F.col("threshold")).alias("neg"))).alias("b"))
     return best.select(F.round(F.least(F.lit(1.0), -F.col("b.neg") + F.lit(margin)), 6).alias("threshold"),
                        F.round("b.f1", 6).alias("f1"))
 
 
-def natural_threshold(df: DataFrame, score: str = "score", digits: int = 6) -> DataFrame:
+def natural_threshold(df: DataFrame, score: str = "score") -> DataFrame:
     """Midpoint of the two 1-D cluster centres of the exact best 2-way split.
 
     Every split "values ≤ v | values > v" at a distinct value v is scored by its
     within-group sum of squares from running sums; the smallest wins (ties: the
     lowest v). Output: ``threshold, low_center, high_center``.
     """
-    counts = df.groupBy(F.round(F.col(score), digits).alias("v")).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(F.col(score)).alias("s"),
-        F.sum(F.col(score) * F.col(score)).alias("q"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    run = counts.select(
-        "v", F.sum("c").over(up).alias("n1"), F.sum("s").over(up).alias("s1"), F.sum("q").over(up).alias("q1"),
-        F.sum("c").over(every).alias("n"), F.sum("s").over(every).alias("s"), F.sum("q").over(every).alias("q"))
-    run = run.where(F.col("n1") < F.col("n")).select(
-        "v", "n1", "s1", (F.col("n") - F.col("n1")).alias("n2"), (F.col("s") - F.col("s1")).alias("s2"),
-        (F.col("q1") - F.col("s1") * F.col("s1") / F.col("n1")
-         + (F.col("q") - F.col("q1")) - (F.col("s") - F.col("s1")) * (F.col("s") - F.col("s1"))
-         / (F.col("n") - F.col("n1"))).alias("sse"))
-    best = run.agg(F.min(F.struct(F.round("sse", 9).alias("sse"), "v", "n1", "s1", "n2", "s2")).alias("b"))
-    lo = F.col("b.s1") / F.col("b.n1")
-    hi = F.col("b.s2") / F.col("b.n2")
-    return best.select(F.round((lo + hi) / 2.0, 6).alias("threshold"),
-                       F.round(lo, 6).alias("low_center"), F.round(hi, 6).alias("high_center"))
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.select("v", "c", (F.col("c") * F.col("v")).alias("s"), (F.col("c") * F.col("v") * F.col("v")).alias("q"))
+    run, total = running_sums(counts, [F.col("v").asc()], ["c", "s", "q"])
+    n, s, q = (F.lit(total[k]) for k in "csq")
+    n1, s1, q1 = (F.col(f"run_{k}") for k in "csq")
+    sse = q1 - s1 * s1 / n1 + (q - q1) - (s - s1) * (s - s1) / (n - n1)
+    best = run.where(n1 < n).select("v", n1.alias("n1"), s1.alias("s1"), (n - n1).alias("n2"), (s - s1).alias("s2"),
+                                    sse.alias("sse")).agg(
+        F.min(F.struct(F.round("sse", 9).alias("sse"), "v", "n1", "s1", "n2", "s2")).alias("b"))
+    return _midpoint(best, F.col("b.s1") / F.col("b.n1"), F.col("b.s2") / F.col("b.n2"))
+
+
+def _midpoint(row: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    return row.select(F.round((lo + hi) / 2.0, 6).alias("threshold"),
+                      F.round(lo, 6).alias("low_center"), F.round(hi, 6).alias("high_center"))
+
+
+def cluster_centers(df: DataFrame, score: str = "score", most: int = 300) -> tuple[float, float] | None:
+    """The two centres that Lloyd's iterations from the least and the greatest value reach.
+
+    The values are a histogram in a table, one row per distinct value; an
+    iteration is one sum over it, and only the two means reach the driver. A
+    value in the middle goes to the lower centre. None without values.
+    """
+    counts = materialize(df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("v"))
+                         .agg(F.count(F.lit(1)).alias("c")), "histogram")
+    lo, hi = counts.agg(F.min("v"), F.max("v")).first()
+    if lo is None:
+        return None
+    low = None
+    for _ in range(most):
+        near = F.col("v") <= F.lit((lo + hi) / 2.0)
+        row = counts.agg(*[f(F.when(side, x)).alias(n) for n, f, side, x in (
+            ("n1", F.sum, near, F.col("c")), ("s1", F.sum, near, F.col("c") * F.col("v")),
+            ("n2", F.sum, ~near, F.col("c")), ("s2", F.sum, ~near, F.col("c") * F.col("v")))]).first()
+        if row["n1"] == low:  # the same values lie on each side: a fixed point
+            break
+        low = row["n1"]
+        lo = row["s1"] / row["n1"] if row["n1"] else lo
+        hi = row["s2"] / row["n2"] if row["n2"] else hi
+    return lo, hi
+
+
+def cluster_threshold(df: DataFrame, score: str = "score") -> DataFrame:
+    """Midpoint of the two cluster centres of the scores, with the centres."""
+    centers = cluster_centers(df, score)
+    found = df.sparkSession.createDataFrame([centers] if centers else [], "lo double, hi double")
+    return _midpoint(found, F.col("lo"), F.col("hi"))
 
 
 # ------------------------------------------------------------ statistics ---
@@ -261,43 +286,31 @@ def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max per column.
 
     The columns are stacked into ``(feature, value)`` rows; moments are one
-    partial aggregation. Quartiles are exact: values are reduced to distinct
-    values with counts per feature, and the order statistics around each
-    quartile position are read from running counts over that table.
+    partial aggregation, quartiles exact order statistics.
     """
-    long = df.select(F.explode(F.array(*[
+    long = materialize(df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("x")).select("x.feature", "x.value")
+    ])).alias("x")).select("x.feature", "x.value"), "stacked")
     stats = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = quantiles_by(long, "feature", "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    out = stats.join(qs, "feature", "left")
+    qs = quantiles_by(long, "feature", "value", cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    out = stats.join(F.broadcast(qs), "feature", "left")  # one row per column
     return out.select("feature", F.col("count").cast("long").alias("count"),
                       *[F.round(x, digits).alias(x) for x in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
-def quantiles_by(long: DataFrame, key: str, value: str, qs: list[float], names: list[str]) -> DataFrame:
-    """Exact quantiles (linear interpolation) of ``value`` per ``key``, one column per q.
-
-    The k-th order statistic (0-based) is the smallest distinct value whose
-    running count exceeds k.
-    """
-    vals = long.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = vals.select(key, value, F.sum("c").over(up).alias("hi"),
-                      F.sum("c").over(Window.partitionBy(key)).alias("n"))
-    aggs = [F.first("n").alias("n")]
-    for i, q in enumerate(qs):
-        h = (F.col("n") - 1) * F.lit(float(q))
-        aggs.append(F.min(F.when(F.col("hi") > F.floor(h), F.col(value))).alias(f"v0_{i}"))
-        aggs.append(F.min(F.when(F.col("hi") > F.ceil(h), F.col(value))).alias(f"v1_{i}"))
-    picked = run.groupBy(key).agg(*aggs)
-    outs = [key]
-    for i, (q, name) in enumerate(zip(qs, names)):
-        h = (F.col("n") - 1) * F.lit(float(q))
-        outs.append((F.col(f"v0_{i}") + (h - F.floor(h)) * (F.col(f"v1_{i}") - F.col(f"v0_{i}"))).alias(name))
-    return picked.select(*outs)
+def quantiles_by(long: DataFrame, key: str, value: str, keys: list, qs: list[float], names: list[str]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of ``value`` for each of ``keys``, one column per q; keys without values have none."""
+    sizes = {r[key]: r["n"] for r in long.where(F.col(key).isin(*keys)).groupBy(key).agg(F.count(value).alias("n")).collect()}
+    at = {k: [(n - 1) * float(q) for q in qs] for k, n in sizes.items() if n}
+    found = order_statistics(long, key, value, {k: {r for h in hs for r in (math.floor(h), math.ceil(h))} for k, hs in at.items()})
+    rows = []
+    for k, hs in at.items():
+        ends = [(found[k][math.floor(h)], found[k][math.ceil(h)], h - math.floor(h)) for h in hs]
+        rows.append((k, *[a + share * (b - a) for a, b, share in ends]))
+    kind = dict(long.dtypes)[key]
+    return long.sparkSession.createDataFrame(rows, f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in names))
 
 
 def correlations(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:

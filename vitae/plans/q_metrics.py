@@ -35,8 +35,8 @@ scored AS (SELECT l.doc_id AS id, CAST(l.quality AS INTEGER) AS y, b.match_score
                   CAST(b.match_score > {T_SKILLS} AS INTEGER) AS yhat
            FROM labels l JOIN r_clean c ON c.id = l.doc_id JOIN r_dist d ON d.t IS NOT DISTINCT FROM c.t
            JOIN best b ON b.resume_id = d.id),
-sc AS (SELECT round(score, 6) AS threshold, count(*) FILTER (WHERE y = 1) AS pos,
-              count(*) FILTER (WHERE y <> 1) AS neg FROM scored GROUP BY round(score, 6)),
+sc AS (SELECT score AS threshold, count(*) FILTER (WHERE y = 1) AS pos,
+              count(*) FILTER (WHERE y <> 1) AS neg FROM scored GROUP BY score),
 run AS (SELECT threshold,
           sum(pos) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
           sum(neg) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
@@ -160,8 +160,8 @@ def strict_f1_threshold(spark, sf_dir):
 
 
 @register("natural_threshold", q("""
-, vc AS (SELECT round(score, 6) AS v, count(*) AS c, sum(score) AS s, sum(score * score) AS q
-         FROM scored GROUP BY round(score, 6)),
+, vc AS (SELECT score AS v, count(*) AS c, sum(score) AS s, sum(score * score) AS q
+         FROM scored GROUP BY score),
 r AS (SELECT v, sum(c) OVER w AS n1, sum(s) OVER w AS s1, sum(q) OVER w AS q1,
              sum(c) OVER () AS n, sum(s) OVER () AS st, sum(q) OVER () AS qt
       FROM vc WINDOW w AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -176,6 +176,20 @@ def natural_threshold(spark, sf_dir):
     return M.natural_threshold(scored(spark, sf_dir))
 
 
+@register("cluster_threshold", "WITH RECURSIVE" + q("""
+, lloyd(i, lo, hi) AS (
+  SELECT 0, min(score), max(score) FROM scored
+  UNION
+  SELECT * FROM (SELECT i + 1, coalesce(avg(score) FILTER (WHERE score <= (lo + hi) / 2), lo),
+                        coalesce(avg(score) FILTER (WHERE score > (lo + hi) / 2), hi)
+                 FROM lloyd, scored WHERE i < 300 GROUP BY i, lo, hi))
+SELECT round((lo + hi) / 2.0, 6) AS threshold, round(lo, 6) AS low_center, round(hi, 6) AS high_center
+FROM lloyd ORDER BY i DESC LIMIT 1""".replace("\n, lloyd", ", lloyd", 1)).removeprefix("WITH"))
+def cluster_threshold(spark, sf_dir):
+    """Threshold halfway between the two cluster centres of the scores."""
+    return M.cluster_threshold(scored(spark, sf_dir))
+
+
 def _rank_sql(partition: str = "y") -> str:
     return (f"row_number() OVER (PARTITION BY {partition} "
             "ORDER BY md5(concat_ws(':', '42', CAST(id AS VARCHAR)))) - 1")
