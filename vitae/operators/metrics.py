@@ -202,6 +202,23 @@ def average_precision(df: DataFrame, y: str = "y", score: str = "score") -> Data
     return _total(_pr_points(df, y, score), (F.col("recall") - F.col("recall0")) * F.col("precision"), "average_precision")
 
 
+def fold_average_precisions(df: DataFrame, fold: str, y: str = "y", score: str = "score") -> dict[int, float]:
+    """``{fold: average precision}`` of all folds in one pass: running counts over (fold, falling score)."""
+    counts = df.groupBy(F.col(fold).alias("fold"), F.col(score).alias("threshold")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    run, _ = running_sums(counts, [F.col("fold").asc(), F.col("threshold").desc()], ["pos", "neg"])
+    sizes = sorted(counts.groupBy("fold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect(), key=lambda r: r["fold"])
+    rows, pos, neg = [], 0, 0
+    for r in sizes:
+        rows.append((r["fold"], pos, neg, r["pos"]))
+        pos, neg = pos + r["pos"], neg + r["neg"]
+    starts = df.sparkSession.createDataFrame(rows, "fold int, pos0 long, neg0 long, P long")
+    tp, fp = F.col("run_pos") - F.col("pos0"), F.col("run_neg") - F.col("neg0")
+    step = F.when(F.col("P") > 0, F.col("pos") / F.col("P") * tp / (tp + fp)).otherwise(0.0)
+    found = run.join(F.broadcast(starts), "fold").groupBy("fold").agg(F.round(F.sum(step), 6).alias("ap")).collect()
+    return {r["fold"]: r["ap"] for r in found}
+
+
 def best_f1_threshold(df: DataFrame, y: str = "y", score: str = "score", eps: float = 1e-8) -> DataFrame:
     """Threshold maximising ``2PR / (P + R + eps)``; first maximum in ascending order."""
     f1 = 2 * (F.col("precision") * F.col("recall")) / (F.col("precision") + F.col("recall") + F.lit(eps))
