@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from vitae.functions import dictionaries as D
 from vitae.functions.text import clean, strip_ws, words
 from vitae.operators import features as FT
-from vitae.operators import tfidf
+from vitae.operators import strict, tfidf
 from vitae.operators.metrics import rank_within
+from vitae.session import materialize
 
 MODES = ("casual_skills", "strict_skills", "casual_full", "strict_full")
 
@@ -35,8 +36,8 @@ class ModelPackage:
     coefficients: tuple[float, ...]
     vocabulary: tfidf.Vocabulary | None = None
     scaler: dict[str, tuple[float, float]] | None = None
-    synonyms: dict[str, str] = field(default_factory=dict)
-    skill_weights: dict[str, float] = field(default_factory=dict)
+    synonyms: dict[str, str] | DataFrame = field(default_factory=dict)
+    skill_weights: dict[str, float] | DataFrame = field(default_factory=dict)
     optimal_threshold: float | None = None
 
 
@@ -73,7 +74,7 @@ def _coalesce_arr(col):
 
 
 def _pairs(pairs: DataFrame, cands: DataFrame, jobs: DataFrame) -> DataFrame:
-    c = cands.select("resume_id", "name", F.col("skills").alias("r_skills"),
+    c = cands.select("resume_id", "name", "email", "phone", F.col("skills").alias("r_skills"),
                      F.col("certifications").alias("r_certs"), "degree", "experience_days")
     j = jobs.select("job_id", F.col("skills").alias("j_skills"), F.col("certifications").alias("j_certs"))
     return pairs.select("resume_id", "job_id").join(c, "resume_id").join(j, "job_id")
@@ -81,42 +82,11 @@ def _pairs(pairs: DataFrame, cands: DataFrame, jobs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ skills modes ---
 
-def canonical_text(col, synonyms: dict[str, str]) -> Column:
-    """Whole-token synonym rewrite with the chain closed in advance (H4, C4).
-
-    No key holds a space, so each token rewrites alone: applying the ordered
-    rules once per key gives a token → result map, looked up per token.
-    """
-    if not synonyms:
-        return col
-    closed = close_synonyms(synonyms)
-    m = F.create_map(*[x for k, v in closed.items() for x in (F.lit(k), F.lit(v))])
-    toks = F.split(col, " ")
-    return F.array_join(F.transform(toks, lambda t: F.coalesce(F.try_element_at(m, t), t)), " ")
-
-
-def close_synonyms(synonyms: dict[str, str]) -> dict[str, str]:
-    """Apply the ordered whole-word rules to each key alone; keep keys that change."""
-    import re
-    out = {}
-    for key in synonyms:
-        text = key
-        for syn, std in synonyms.items():
-            text = re.sub(r"\b" + re.escape(syn) + r"\b", std, text, flags=re.IGNORECASE)
-        if text != key:
-            out[key] = text
-    return out
-
-
-def boost_text(col, weights: dict[str, float]) -> Column:
-    """Append each skill found as a whole word ``int(2·weight)`` times (H5)."""
-    if not weights:
-        return col
-    extra = [F.when(col.rlike(r"(?i)\b" + FT.rx_escape(s) + r"\b"),
-                    F.array_repeat(F.lit(s), int(w * 2)))
-             for s, w in weights.items()]
-    boosted = F.flatten(F.filter(F.array(*extra), lambda a: a.isNotNull()))
-    return F.when(F.size(boosted) > 0, F.concat(col, F.lit(" "), F.array_join(boosted, " "))).otherwise(col)
+def fit_strict_vocabulary(cands: DataFrame, jobs: DataFrame, synonyms, skill_weights) -> tfidf.Vocabulary:
+    """Stored vocabulary for the strict skills mode: idf over the distinct strict texts of both sides."""
+    tables = [strict.strict_terms(strict.distinct_texts(strict.strict_texts(df, key, F.col("skills"), synonyms)), skill_weights)
+              for df, key in ((cands, "resume_id"), (jobs, "job_id"))]
+    return tfidf.fit_idf(*[materialize(t, "strict-terms") for t in tables])
 
 
 def score_skills(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, package: ModelPackage,
@@ -126,15 +96,13 @@ def score_skills(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, package: M
     matched and missing skills (case-sensitive)."""
     p = _pairs(pairs, cands, jobs)
     if mode == "casual_skills":
-        rt = clean(F.array_join(_coalesce_arr("skills"), " "), "delete")
-        jt = clean(F.array_join(_coalesce_arr("skills"), " "), "delete")
+        text = clean(F.array_join(_coalesce_arr("skills"), " "), "delete").alias("t")
+        tt_r = tfidf.term_table(cands.select("resume_id", text), "resume_id", "t", None, dedup=False)
+        tt_j = tfidf.term_table(jobs.select("job_id", text), "job_id", "t", None, dedup=False)
     else:
         # strict: non-letters to spaces, synonyms, weights (skills joined by a space)
-        rt = boost_text(canonical_text(clean(F.array_join(_coalesce_arr("skills"), " "), "space"),
-                                       package.synonyms), package.skill_weights)
-        jt = rt
-    tt_r = tfidf.term_table(cands.select("resume_id", rt.alias("t")), "resume_id", "t", None, dedup=False)
-    tt_j = tfidf.term_table(jobs.select("job_id", jt.alias("t")), "job_id", "t", None, dedup=False)
+        tt_r, tt_j = (strict.strict_terms(strict.strict_texts(df, key, F.col("skills"), package.synonyms), package.skill_weights)
+                      for df, key in ((cands, "resume_id"), (jobs, "job_id")))
     pp = pairs.select(F.col("resume_id").alias("lid"), F.col("job_id").alias("rid"))
     if mode == "casual_skills" or package.vocabulary is None:
         sim = tfidf.pair_similarity(pp, tt_r, tt_j, digits=None)
@@ -147,7 +115,7 @@ def score_skills(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, package: M
     # casual predicts from the unrounded score, strict from the rounded one
     prob = probability(["raw" if mode == "casual_skills" else "score"], package)
     return out.select(
-        "resume_id", "job_id", F.col("name").alias("file_name"), "score",
+        "resume_id", "job_id", F.col("name").alias("file_name"), "email", "phone", "score",
         (prob > 0.5).alias("prediction"), F.round(prob, 6).alias("probability"),
         matched(_coalesce_arr("r_skills"), _coalesce_arr("j_skills")).alias("matched_skills"),
         missing(_coalesce_arr("r_skills"), _coalesce_arr("j_skills")).alias("missing_skills"),
@@ -190,7 +158,7 @@ def full_features(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, vocabular
     rt = full_skill_text("r_skills")
     jt = full_skill_text("j_skills")
     return p.join(sim, ["resume_id", "job_id"]).select(
-        "resume_id", "job_id", "name", "r_skills", "j_skills", "r_certs", "j_certs", "skill_similarity",
+        "resume_id", "job_id", "name", "email", "phone", "r_skills", "j_skills", "r_certs", "j_certs", "skill_similarity",
         (FT.education_level("degree", ladder, whole_word) / float(D.EDUCATION_SCALE)).alias("education_score"),
         FT.certification_score("r_certs").alias("certification_count"),
         FT.experience_score(F.col("experience_days") / 365.0).alias("experience_score"),
@@ -224,7 +192,7 @@ def score_full(feats: DataFrame, package: ModelPackage, mode: str = "strict_full
     prob = probability(scaled, package)
     score = FT.match_score(weights)
     return feats.select(
-        "resume_id", "job_id", F.col("name").alias("file_name"), F.round(score, digits).alias("score"),
+        "resume_id", "job_id", F.col("name").alias("file_name"), "email", "phone", F.round(score, digits).alias("score"),
         (prob >= F.lit(float(threshold))).alias("prediction"), F.round(prob, digits).alias("probability"),
         matched(_coalesce_arr("r_skills"), _coalesce_arr("j_skills"), True).alias("matched_skills"),
         missing(_coalesce_arr("r_skills"), _coalesce_arr("j_skills"), True).alias("missing_skills"),
@@ -280,15 +248,18 @@ def filter_results(results: DataFrame, view: str = "all") -> DataFrame:
 
 
 def report_rows(results: DataFrame) -> DataFrame:
-    """Export rows: defaults, Match/No Match, ``x.x%`` scores, joined lists,
-    long names truncated to 27 characters + ``...`` (B9, B10)."""
+    """Export rows: ``N/A`` for what is missing, Match/No Match, ``x.x%`` scores and
+    probabilities, joined lists, long names and addresses truncated to 27 characters + ``...`` (B9, B10)."""
     from vitae.functions.text import truncate_cell
     # rounded as whole tenths of a percent: a score's half is a half only after both factors
-    pct = F.format_string("%.1f%%", F.round(F.col("score") * 100 * 10) / 10)
+    def pct(col):
+        return F.format_string("%.1f%%", F.round(F.col(col) * 100 * 10) / 10).alias(col)
+
     return results.select(
         "resume_id", "job_id",
         truncate_cell(F.coalesce(F.col("file_name"), F.lit("N/A"))).alias("name"),
-        pct.alias("score"),
+        truncate_cell(F.coalesce(F.col("email"), F.lit("N/A"))).alias("email"),
+        F.coalesce(F.col("phone"), F.lit("N/A")).alias("phone"), pct("score"), pct("probability"),
         F.when(F.col("prediction"), F.lit("Match")).otherwise(F.lit("No Match")).alias("prediction"),
         F.array_join(F.coalesce("matched_skills", F.array().cast("array<string>")), ", ").alias("matched_skills"),
         F.array_join(F.coalesce("missing_skills", F.array().cast("array<string>")), ", ").alias("missing_skills"))

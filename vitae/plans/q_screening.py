@@ -30,7 +30,8 @@ FULL = {"strict_full": (FULL_STRICT_MODEL, D.WEIGHTS_STRICT, D.DECISION_THRESHOL
 
 
 def _inputs(spark, sf_dir):
-    return (V.applications(spark, sf_dir), V.candidate_profiles(spark, sf_dir),
+    # stored: vocabulary, term table and pairs all read the candidates
+    return (V.applications(spark, sf_dir), materialize(V.candidate_profiles(spark, sf_dir), "candidates"),
             V.job_postings(spark, sf_dir))
 
 
@@ -79,10 +80,10 @@ cs_s AS (SELECT resume_id, job_id, sum(lw * rw) AS dot, sum(lw * lw) AS ll, sum(
 cs_sc AS (SELECT a.resume_id, a.job_id,
                  CASE WHEN s.ll > 0 AND s.rr > 0 THEN s.dot / (sqrt(s.ll) * sqrt(s.rr)) ELSE 0.0 END AS raw
           FROM apps a LEFT JOIN cs_s s ON s.resume_id = a.resume_id AND s.job_id = a.job_id),
-cs_p AS (SELECT x.resume_id, x.job_id, c.name, coalesce(c.skills, []) AS rs, coalesce(j.skills_required, []) AS js,
+cs_p AS (SELECT x.resume_id, x.job_id, c.name, c.email, c.phone, coalesce(c.skills, []) AS rs, coalesce(j.skills_required, []) AS js,
                 round(coalesce(x.raw, 0.0), 4) AS score, {_sigmoid_sql(['coalesce(x.raw, 0.0)'], b0, coefs)} AS prob
          FROM cs_sc x JOIN cand c ON c.resume_id = x.resume_id JOIN jobs j ON j.job_id = x.job_id)
-SELECT resume_id, job_id, name AS file_name, score, prob > 0.5 AS prediction, round(prob, 6) AS probability,
+SELECT resume_id, job_id, name AS file_name, email, phone, score, prob > 0.5 AS prediction, round(prob, 6) AS probability,
        list_filter(rs, lambda s: list_contains(js, s)) AS matched_skills,
        list_filter(js, lambda s: NOT list_contains(rs, s)) AS missing_skills,
        CAST([] AS VARCHAR[]) AS matched_certifications, CAST([] AS VARCHAR[]) AS missing_certifications,
@@ -100,6 +101,70 @@ def screen_casual_skills(spark, sf_dir):
                      "casual_skills", SC.ModelPackage(b0, coefs))
 
 
+# ---------------------------------------------------------- strict skills ---
+
+# The example strict package (rules in order, weights, intercept, coefficient).
+STRICT_SYNONYMS = {"hot": "heated", "cold": "cooled-metal", "gizmo": "gadget", "heated": "heated-metal",
+                   "gadget": "smart-gadget", "old": "used", "metal": "alloy"}
+STRICT_WEIGHTS = {"heated-alloy": 2.0, "smart-gadget": 1.5, "bolt": 1.7, "gear": 2.6, "blue bolt": 1.0, "alloy": 0.6,
+                  "red": 0.4, "used": 1.2}
+STRICT_SKILLS_MODEL = (-2.5, (9.0,))
+
+
+def _strict_text_sql(skills: str) -> str:
+    """The reference's order of steps on whole texts: every rule in turn, then the repeats appended."""
+    text = clean(f"array_to_string(coalesce({skills}, []), ' ')", "space")
+    for synonym, standard in STRICT_SYNONYMS.items():
+        text = f"regexp_replace({text}, '\\b{synonym}\\b', '{standard}', 'g')"
+    return text
+
+
+def _strict_ctes() -> str:
+    def terms(side: str, key: str, source: str, skills: str) -> str:
+        boost = " || ".join(f"CASE WHEN regexp_matches(t, '\\b{s}\\b') THEN repeat(' {s}', {int(w * 2)}) ELSE '' END"
+                            for s, w in STRICT_WEIGHTS.items())
+        return f"""
+st_{side}0 AS (SELECT {key} AS id, {_strict_text_sql(skills)} AS t FROM {source}),
+st_{side} AS (SELECT id, t || {boost} AS t FROM st_{side}0),
+st_{side}tf AS (SELECT id, term, count(*) AS cnt FROM (SELECT id, unnest(regexp_extract_all(t, '\\w+')) AS term FROM st_{side}) s
+             WHERE length(term) >= 2 GROUP BY id, term),
+st_{side}d AS (SELECT min(id) AS id FROM st_{side} GROUP BY t)"""
+
+    b0, coefs = STRICT_SKILLS_MODEL
+    return f"""{VIEWS},{terms('c', 'resume_id', 'cand', 'skills')},{terms('j', 'job_id', 'jobs', 'skills_required')},
+st_n AS (SELECT CAST((SELECT count(*) FROM st_cd) + (SELECT count(*) FROM st_jd) AS DOUBLE) AS n),
+st_vocab AS (SELECT term, ln((1 + (SELECT n FROM st_n)) / (count(*) + 1.0)) + 1 AS idf FROM (
+    SELECT term FROM st_ctf JOIN st_cd USING (id) UNION ALL SELECT term FROM st_jtf JOIN st_jd USING (id)) u GROUP BY term),
+st_cw0 AS (SELECT id, term, cnt * idf AS w FROM st_ctf JOIN st_vocab USING (term)),
+st_cw AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM st_cw0),
+st_jw0 AS (SELECT id, term, cnt * idf AS w FROM st_jtf JOIN st_vocab USING (term)),
+st_jw AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM st_jw0),
+st_dot AS (SELECT a.resume_id, a.job_id, sum(r.w * j.w) AS dot FROM apps a
+           JOIN st_cw r ON r.id = a.resume_id JOIN st_jw j ON j.id = a.job_id AND j.term = r.term
+           GROUP BY a.resume_id, a.job_id),
+st_p AS (SELECT a.resume_id, a.job_id, c.name, c.email, c.phone, coalesce(c.skills, []) AS rs,
+                coalesce(j.skills_required, []) AS js, round(coalesce(d.dot, 0.0), 4) AS score
+         FROM apps a JOIN cand c ON c.resume_id = a.resume_id JOIN jobs j ON j.job_id = a.job_id
+         LEFT JOIN st_dot d ON d.resume_id = a.resume_id AND d.job_id = a.job_id),
+st_q AS (SELECT *, {_sigmoid_sql(['score'], b0, coefs)} AS prob FROM st_p)"""
+
+
+@register("screen_strict_skills", f"""WITH {_strict_ctes()}
+SELECT resume_id, job_id, name AS file_name, email, phone, score, prob > 0.5 AS prediction, round(prob, 6) AS probability,
+       list_filter(rs, lambda s: list_contains(js, s)) AS matched_skills,
+       list_filter(js, lambda s: NOT list_contains(rs, s)) AS missing_skills,
+       CAST([] AS VARCHAR[]) AS matched_certifications, CAST([] AS VARCHAR[]) AS missing_certifications,
+       'strict_skills' AS model_used, 0.0 AS skill_similarity, 0.0 AS education_score,
+       0 AS certification_count, 0.0 AS experience_score, 0.0 AS keyword_match FROM st_q""")
+def screen_strict_skills(spark, sf_dir):
+    """Strict skills screening of every application."""
+    pairs, cands, jobs = _inputs(spark, sf_dir)
+    b0, coefs = STRICT_SKILLS_MODEL
+    vocab = SC.fit_strict_vocabulary(cands, jobs, STRICT_SYNONYMS, STRICT_WEIGHTS)
+    return SC.screen(pairs, cands, jobs, "strict_skills", SC.ModelPackage(
+        b0, coefs, vocabulary=vocab, synonyms=STRICT_SYNONYMS, skill_weights=STRICT_WEIGHTS))
+
+
 # ------------------------------------------------------------- full modes ---
 
 def _full_ctes(mode: str = "strict_full") -> str:
@@ -112,7 +177,7 @@ def _full_ctes(mode: str = "strict_full") -> str:
     stats = ", ".join(f"avg({c}) AS {c}_m, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 "
                       f"ELSE stddev_pop({c}) END AS {c}_s" for c in feats)
     return f"""{VIEWS},
-fs_c AS (SELECT resume_id AS id, name, skills AS r_skills, certifications AS r_certs, degree, experience_days,
+fs_c AS (SELECT resume_id AS id, name, email, phone, skills AS r_skills, certifications AS r_certs, degree, experience_days,
                 array_to_string(list_transform(coalesce(skills, []), {lower_strip}), ' ') AS t FROM cand),
 fs_j AS (SELECT job_id AS id, skills_required AS j_skills, job_certifications AS j_certs,
                 array_to_string(list_transform(coalesce(skills_required, []), {lower_strip}), ' ') AS t FROM jobs),
@@ -130,7 +195,7 @@ fs_dot AS (SELECT a.resume_id, a.job_id, sum(r.w * j.w) AS dot FROM apps a
            JOIN fs_cw r ON r.id = a.resume_id JOIN fs_jw j ON j.id = a.job_id AND j.term = r.term
            GROUP BY a.resume_id, a.job_id),
 fs_raw AS (
-  SELECT a.resume_id, a.job_id, c.name, c.r_skills, j.j_skills, c.r_certs, j.j_certs,
+  SELECT a.resume_id, a.job_id, c.name, c.email, c.phone, c.r_skills, j.j_skills, c.r_certs, j.j_certs,
          coalesce(d.dot, 0.0) AS skill_similarity,
          coalesce((SELECT max(level) FROM (VALUES {edu_vals}) l(term, level)
                    WHERE contains(lower(c.degree), l.term)), 0.0) / 5.0 AS education_score,
@@ -146,7 +211,7 @@ fs_out AS (
            + r.experience_score * {w[3]} + r.keyword_match * {w[4]} AS score
   FROM fs_raw r, fs_st st),
 results AS (
-  SELECT resume_id, job_id, name AS file_name, round(score, 6) AS score,
+  SELECT resume_id, job_id, name AS file_name, email, phone, round(score, 6) AS score,
          prob >= {threshold} AS prediction, round(prob, 6) AS probability,
          list_filter(coalesce(r_skills, []), lambda s: list_contains(
              list_transform(coalesce(j_skills, []), lambda x: lower(x)), lower(s))) AS matched_skills,
@@ -194,7 +259,10 @@ def screen_top10(spark, sf_dir):
 SELECT resume_id, job_id,
        CASE WHEN length(coalesce(file_name, 'N/A')) > 30 THEN substr(coalesce(file_name, 'N/A'), 1, 27) || '...'
             ELSE coalesce(file_name, 'N/A') END AS name,
+       CASE WHEN length(coalesce(email, 'N/A')) > 30 THEN substr(coalesce(email, 'N/A'), 1, 27) || '...'
+            ELSE coalesce(email, 'N/A') END AS email, coalesce(phone, 'N/A') AS phone,
        printf('%.1f%%', round(score * 100, 1)) AS score,
+       printf('%.1f%%', round(probability * 100, 1)) AS probability,
        CASE WHEN prediction THEN 'Match' ELSE 'No Match' END AS prediction,
        array_to_string(matched_skills, ', ') AS matched_skills,
        array_to_string(missing_skills, ', ') AS missing_skills

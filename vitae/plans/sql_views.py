@@ -5,7 +5,7 @@ from __future__ import annotations
 from vitae.functions import dictionaries as D
 from vitae.operators.features import rx_escape
 from vitae.plans.sql import WS, clean, strip_ws
-from vitae.sources.views import SEGMENT_DEGREES
+from vitae.sources.views import SEGMENT_DEGREES, SKILL_LINES
 
 
 def sql_str(s: str) -> str:
@@ -19,13 +19,16 @@ def degree_case(col: str) -> str:
 
 VIEWS = f"""
 cust_lines AS (
-  SELECT o.o_custkey, l.l_linenumber, p.p_name, p.p_brand, p.p_size
+  SELECT o.o_custkey, p.p_name, p.p_brand, p.p_size
   FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
   JOIN part p ON l.l_partkey = p.p_partkey),
+cand_words AS (
+  SELECT o_custkey, w, count(*) AS c FROM (
+    SELECT o_custkey, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM cust_lines) s GROUP BY o_custkey, w),
 cand_skills AS (
-  SELECT o_custkey, list_sort(list_distinct(list(w))) AS skills FROM (
-    SELECT o_custkey, unnest(string_split(p_name, ' ')) AS w FROM cust_lines WHERE l_linenumber = 1) s
-  GROUP BY o_custkey),
+  SELECT o_custkey, list_sort(list(w)) AS skills
+  FROM cand_words JOIN (SELECT o_custkey, count(*) AS n FROM cust_lines GROUP BY o_custkey) l USING (o_custkey)
+  WHERE c * {SKILL_LINES} >= n GROUP BY o_custkey),
 cand_certs AS (
   SELECT o_custkey, list_sort(list_distinct(list(p_brand))) AS certifications
   FROM cust_lines WHERE p_size < 10 GROUP BY o_custkey),
@@ -36,7 +39,10 @@ cand_fin AS (
         WHERE o.o_orderstatus = 'F' GROUP BY o.o_orderkey, o.o_custkey, o.o_orderdate) f
   GROUP BY o_custkey),
 cand AS (
-  SELECT c.c_custkey AS resume_id, c.c_name AS name, s.skills, ce.certifications,
+  SELECT c.c_custkey AS resume_id, c.c_name AS name,
+         lower(replace(c.c_name, '#', '.')) || '@example.com' AS email,
+         '555-' || lpad(CAST(c.c_custkey % 1000 AS VARCHAR), 3, '0') || '-'
+           || lpad(CAST(c.c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, s.skills, ce.certifications,
          {degree_case('c.c_mktsegment')} AS degree,
          CAST(coalesce(f.days, 0) AS BIGINT) AS experience_days
   FROM customer c

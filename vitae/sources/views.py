@@ -1,8 +1,8 @@
 """Structured profiles derived from the order tables, built at query time.
 
-* ``candidate_profiles``: one row per customer — skills (distinct words of the
-  part names on the first line of each of the customer's orders), earned
-  certifications (distinct brands of small parts, ``p_size < 10``, in all
+* ``candidate_profiles``: one row per customer — e-mail and phone as in the resume
+  text, skills (words of part names that stand on at least a fifth of the lines
+  of all the customer's orders), earned certifications (distinct brands of small parts, ``p_size < 10``, in all
   orders), a degree from the market segment, and total days of finished work
   (per order with status ``F``: last shipment minus order date).
 * ``job_postings``: one row per part — required skills are the words of its name,
@@ -33,6 +33,9 @@ SEGMENT_DEGREES = {
     "FURNITURE": "Associate Degree",
 }
 
+# Fixed value: a word is a skill if one in so many of a customer's order lines names it.
+SKILL_LINES = 5
+
 
 def _degree(col) -> F.Column:
     expr = F.lit("")
@@ -41,17 +44,29 @@ def _degree(col) -> F.Column:
     return expr
 
 
+def _email(name: str) -> F.Column:
+    return F.concat(F.lower(F.regexp_replace(name, "#", ".")), F.lit("@example.com"))
+
+
+def _phone(key: str) -> F.Column:
+    return F.concat(F.lit("555-"), F.lpad((F.col(key) % 1000).cast("string"), 3, "0"), F.lit("-"),
+                    F.lpad((F.col(key) % 10000).cast("string"), 4, "0"))
+
+
 def candidate_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate")
     part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
 
     lines = (orders.join(li, F.col("l_orderkey") == F.col("o_orderkey"))
              .join(part, F.col("l_partkey") == F.col("p_partkey")))
-    skills = (lines.where(F.col("l_linenumber") == 1)
-              .select("o_custkey", F.explode(F.split("p_name", " ")).alias("w"))
-              .groupBy("o_custkey").agg(F.array_sort(F.collect_set("w")).alias("skills")))
+    # counts per customer and word, then per customer: both partial sums; a word is counted once a line
+    n_lines = lines.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    words = (lines.select("o_custkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
+             .groupBy("o_custkey", "w").agg(F.count(F.lit(1)).alias("c")))
+    skills = (words.join(n_lines, "o_custkey").where(F.col("c") * SKILL_LINES >= F.col("n"))
+              .groupBy("o_custkey").agg(F.array_sort(F.collect_list("w")).alias("skills")))
     certs = (lines.where(F.col("p_size") < 10)
              .groupBy("o_custkey").agg(F.array_sort(F.collect_set("p_brand")).alias("certifications")))
     finished = (orders.where(F.col("o_orderstatus") == "F")
@@ -66,7 +81,7 @@ def candidate_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(certs, F.col("c_custkey") == certs.o_custkey, "left").drop("o_custkey")
             .join(finished, F.col("c_custkey") == finished.o_custkey, "left").drop("o_custkey")
             .select(F.col("c_custkey").alias("resume_id"), F.col("c_name").alias("name"),
-                    "skills", "certifications", _degree(F.col("c_mktsegment")).alias("degree"),
+                    _email("c_name").alias("email"), _phone("c_custkey").alias("phone"), "skills", "certifications", _degree(F.col("c_mktsegment")).alias("degree"),
                     F.coalesce("experience_days", F.lit(0)).cast("long").alias("experience_days")))
 
 
@@ -132,9 +147,8 @@ def resume_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("resume_id"),
         F.concat_ws("\n",
                     F.col("c_name"),
-                    F.concat(F.lit("Email: "), F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com")),
-                    F.concat(F.lit("Phone: 555-"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"),
-                             F.lit("-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")),
+                    F.concat(F.lit("Email: "), _email("c_name")),
+                    F.concat(F.lit("Phone: "), _phone("c_custkey")),
                     F.lit("Skills"),
                     F.array_join("words", ", "),
                     F.lit("Certifications"),
