@@ -30,7 +30,6 @@ def counts(text):
 def test_closing_applies_every_rule_in_order(spark):
     got = {r.term: r.standard for r in strict.closed_synonyms(strict.rules_table(spark, RULES)).collect()}
     assert got == {k: rewrite(k) for k in RULES if rewrite(k) != k}
-    assert got["materialui"] == "material-ui-x y"
     two = strict.closed_synonyms(strict.rules_table(spark, {"materialui": "material-ui", "ui": "ui-designer"})).collect()
     assert {tuple(r) for r in two} == {("materialui", "material-ui-designer"), ("ui", "ui-designer")}
 
