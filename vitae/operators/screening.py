@@ -89,29 +89,18 @@ def fit_strict_vocabulary(cands: DataFrame, jobs: DataFrame, synonyms, skill_wei
     return tfidf.fit_idf(*[materialize(t, "strict-terms") for t in tables])
 
 
-def score_skills(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, package: ModelPackage,
-                 mode: str = "casual_skills") -> DataFrame:
-    """Skills-only modes (M13, M14): TF-IDF cosine of the two skill texts,
-    rounded to 4 decimals, logistic probability of that score, class at 0.5,
-    matched and missing skills (case-sensitive)."""
-    p = _pairs(pairs, cands, jobs)
+def skill_terms(df: DataFrame, id_col: str, package: ModelPackage, mode: str) -> DataFrame:
+    """Term table of one side's skill lists in a skills mode."""
     if mode == "casual_skills":
         text = clean(F.array_join(_coalesce_arr("skills"), " "), "delete").alias("t")
-        tt_r = tfidf.term_table(cands.select("resume_id", text), "resume_id", "t", None, dedup=False)
-        tt_j = tfidf.term_table(jobs.select("job_id", text), "job_id", "t", None, dedup=False)
-    else:
-        # strict: non-letters to spaces, synonyms, weights (skills joined by a space)
-        tt_r, tt_j = (strict.strict_terms(strict.strict_texts(df, key, F.col("skills"), package.synonyms), package.skill_weights)
-                      for df, key in ((cands, "resume_id"), (jobs, "job_id")))
-    pp = pairs.select(F.col("resume_id").alias("lid"), F.col("job_id").alias("rid"))
-    if mode == "casual_skills" or package.vocabulary is None:
-        sim = tfidf.pair_similarity(pp, tt_r, tt_j, digits=None)
-    else:
-        wr = tfidf.weights(tt_r, package.vocabulary)
-        wj = tfidf.weights(tt_j, package.vocabulary)
-        sim = tfidf.rowwise_cosine(pp, wr, wj, digits=None)
-    sim = sim.select(F.col("lid").alias("resume_id"), F.col("rid").alias("job_id"), F.col("score").alias("raw"))
-    out = p.join(sim, ["resume_id", "job_id"]).withColumn("score", F.round("raw", 4))
+        return tfidf.term_table(df.select(id_col, text), id_col, "t", None, dedup=False)
+    # strict: non-letters to spaces, synonyms, weights (skills joined by a space)
+    return strict.strict_terms(strict.strict_texts(df, id_col, F.col("skills"), package.synonyms), package.skill_weights)
+
+
+def skills_results(rows: DataFrame, package: ModelPackage, mode: str) -> DataFrame:
+    """Result columns of pairs with both profiles and their similarity ``raw`` in a skills mode."""
+    out = rows.withColumn("score", F.round("raw", 4))
     # casual predicts from the unrounded score, strict from the rounded one
     prob = probability(["raw" if mode == "casual_skills" else "score"], package)
     return out.select(
@@ -127,6 +116,24 @@ def score_skills(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, package: M
         F.lit(0.0).alias("keyword_match"))
 
 
+def score_skills(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, package: ModelPackage,
+                 mode: str = "casual_skills") -> DataFrame:
+    """Skills-only modes (M13, M14): TF-IDF cosine of the two skill texts,
+    rounded to 4 decimals, logistic probability of that score, class at 0.5,
+    matched and missing skills (case-sensitive)."""
+    p = _pairs(pairs, cands, jobs)
+    tt_r, tt_j = (skill_terms(df, key, package, mode) for df, key in ((cands, "resume_id"), (jobs, "job_id")))
+    pp = pairs.select(F.col("resume_id").alias("lid"), F.col("job_id").alias("rid"))
+    if mode == "casual_skills" or package.vocabulary is None:
+        sim = tfidf.pair_similarity(pp, tt_r, tt_j, digits=None)
+    else:
+        wr = tfidf.weights(tt_r, package.vocabulary)
+        wj = tfidf.weights(tt_j, package.vocabulary)
+        sim = tfidf.rowwise_cosine(pp, wr, wj, digits=None)
+    sim = sim.select(F.col("lid").alias("resume_id"), F.col("rid").alias("job_id"), F.col("score").alias("raw"))
+    return skills_results(p.join(sim, ["resume_id", "job_id"]), package, mode)
+
+
 # -------------------------------------------------------------- full modes ---
 
 def full_skill_text(col) -> Column:
@@ -136,33 +143,34 @@ def full_skill_text(col) -> Column:
 
 def fit_full_vocabulary(cands: DataFrame) -> tfidf.Vocabulary:
     """Stored vocabulary for the full modes: idf over candidate skill texts (M2)."""
-    tt = tfidf.term_table(cands.select("resume_id", full_skill_text("skills").alias("t")),
-                          "resume_id", "t", None, dedup=False, tokens="word")
-    return tfidf.fit_idf(tt)
+    return tfidf.fit_idf(full_terms(cands, "resume_id"))
 
 
 def full_features(pairs: DataFrame, cands: DataFrame, jobs: DataFrame, vocabulary: tfidf.Vocabulary,
                   ladder: dict[str, float] | None = None, whole_word: bool = False) -> DataFrame:
     """Raw (unscaled) five features per pair for the full modes (M5 at serving)."""
-    ladder = ladder if ladder is not None else D.DEGREE_LEVELS_SERVING
     p = _pairs(pairs, cands, jobs)
-    tt_r = tfidf.term_table(cands.select("resume_id", full_skill_text("skills").alias("t")),
-                            "resume_id", "t", None, dedup=False, tokens="word")
-    tt_j = tfidf.term_table(jobs.select("job_id", full_skill_text("skills").alias("t")),
-                            "job_id", "t", None, dedup=False, tokens="word")
-    wr = tfidf.weights(tt_r, vocabulary)
-    wj = tfidf.weights(tt_j, vocabulary)
+    wr, wj = (tfidf.weights(full_terms(df, key), vocabulary) for df, key in ((cands, "resume_id"), (jobs, "job_id")))
     pp = pairs.select(F.col("resume_id").alias("lid"), F.col("job_id").alias("rid"))
     sim = tfidf.rowwise_cosine(pp, wr, wj, digits=None).select(
         F.col("lid").alias("resume_id"), F.col("rid").alias("job_id"), F.col("score").alias("skill_similarity"))
-    rt = full_skill_text("r_skills")
-    jt = full_skill_text("j_skills")
-    return p.join(sim, ["resume_id", "job_id"]).select(
+    return profile_features(p.join(sim, ["resume_id", "job_id"]), ladder, whole_word)
+
+
+def full_terms(df: DataFrame, id_col: str) -> DataFrame:
+    """Term table of one side's skill lists in the full modes."""
+    return tfidf.term_table(df.select(id_col, full_skill_text("skills").alias("t")), id_col, "t", None, dedup=False, tokens="word")
+
+
+def profile_features(rows: DataFrame, ladder: dict[str, float] | None = None, whole_word: bool = False) -> DataFrame:
+    """The five features of pairs with both profiles and their ``skill_similarity``; row by row."""
+    ladder = ladder if ladder is not None else D.DEGREE_LEVELS_SERVING
+    return rows.select(
         "resume_id", "job_id", "name", "email", "phone", "r_skills", "j_skills", "r_certs", "j_certs", "skill_similarity",
         (FT.education_level("degree", ladder, whole_word) / float(D.EDUCATION_SCALE)).alias("education_score"),
         FT.certification_score("r_certs").alias("certification_count"),
         FT.experience_score(F.col("experience_days") / 365.0).alias("experience_score"),
-        F.coalesce(_keyword(rt, jt), F.lit(0.0)).alias("keyword_match"))
+        F.coalesce(_keyword(full_skill_text("r_skills"), full_skill_text("j_skills")), F.lit(0.0)).alias("keyword_match"))
 
 
 def _keyword(rt, jt):
