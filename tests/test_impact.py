@@ -78,3 +78,31 @@ def test_split_join_equals_join(spark):
 def test_split_join_of_nothing(spark):
     none = spark.range(0).select(F.col("id").alias("k"))
     assert skew.heavy_cells(none, ["k"]) == {} and skew.join_split(none, none.withColumn("u", F.lit(1)), ["k"]).count() == 0
+
+
+def test_pairs_of_a_hot_job_equal_plain_sums(spark):
+    from vitae.operators.tfidf import pair_similarity, rowwise_cosine
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    left = [(i, w, rng.randrange(1, 4)) for i in range(300) for w in rng.sample(words, 6)]
+    right = [(j, w, rng.randrange(1, 4)) for j in range(30) for w in rng.sample(words, 9)]
+    pairs = [(i, 7) for i in range(300)] + [(5, j) for j in range(30) if j != 7] + [(i, i % 30) for i in range(300) if i % 30 != 7 and i != 5]
+    tl, tr = (spark.createDataFrame(x, "id long, term string, cnt long") for x in (left, right))
+    pp = spark.createDataFrame(pairs + [(999, 7), (3, 999)], "lid long, rid long").repartition(6)
+    dealt, copies = skew.split(pp, tr.select(F.col("id").alias("rid"), "term"), ["rid"], "_p", 16)
+    sizes = [r["count"] for r in dealt.groupBy("rid", "_p").count().collect()]
+    assert max(sizes) < 2.5 * len(pairs) / 16 and copies.where("rid = 7").select("_p").distinct().count() > 4
+    weights = [t.select("id", "term", F.col("cnt").cast("double").alias("w")) for t in (tl, tr)]
+    got = {(r.lid, r.rid): r.score for r in rowwise_cosine(pp, *weights, digits=None).collect()}
+    lw, rw = ({}, {})
+    for table_, rows in ((lw, left), (rw, right)):
+        for i, w, c in rows:
+            table_.setdefault(i, {})[w] = c
+    want = {(i, j): float(sum(c * rw.get(j, {}).get(w, 0) for w, c in lw.get(i, {}).items())) for i, j in [*pairs, (999, 7), (3, 999)]}
+    assert got == want
+    alone = {(r.lid, r.rid): r.score for r in pair_similarity(pp, tl, tr, digits=None).collect()}
+    k = 1 + math.log(1.5)
+    for (i, j), dot in want.items():
+        a, b = lw.get(i, {}), rw.get(j, {})
+        n = math.sqrt(sum((c * (1 if w in b else k)) ** 2 for w, c in a.items()) * sum((c * (1 if w in a else k)) ** 2 for w, c in b.items()))
+        assert math.isclose(alone[i, j], dot / n if n else 0.0, abs_tol=1e-12)

@@ -46,6 +46,12 @@ def processed_only(validated: DataFrame) -> DataFrame:
     return validated.where(F.col("status") == "processed")
 
 
+def parsed(files: DataFrame, error_col: str = "error") -> DataFrame:
+    """Status after parsing: a processed file whose record carries an error becomes ``parse_error``."""
+    failed = (F.col("status") == "processed") & F.col(error_col).isNotNull()
+    return files.withColumn("status", F.when(failed, "parse_error").otherwise(F.col("status")))
+
+
 def intake_counts(validated: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """Per batch: processed, errors (status not processed/pending), success flag."""
     return validated.groupBy(batch_col).agg(

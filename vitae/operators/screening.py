@@ -22,6 +22,7 @@ from vitae.functions.text import clean, strip_ws, words
 from vitae.operators import features as FT
 from vitae.operators import strict, tfidf
 from vitae.operators.metrics import rank_within
+from vitae.operators.skew import split
 from vitae.session import materialize
 
 MODES = ("casual_skills", "strict_skills", "casual_full", "strict_full")
@@ -77,7 +78,11 @@ def _pairs(pairs: DataFrame, cands: DataFrame, jobs: DataFrame) -> DataFrame:
     c = cands.select("resume_id", "name", "email", "phone", F.col("skills").alias("r_skills"),
                      F.col("certifications").alias("r_certs"), "degree", "experience_days")
     j = jobs.select("job_id", F.col("skills").alias("j_skills"), F.col("certifications").alias("j_certs"))
-    return pairs.select("resume_id", "job_id").join(c, "resume_id").join(j, "job_id")
+    # a job that very many apply to, or a candidate of very many applications, is split
+    stored = materialize(pairs.select("resume_id", "job_id"), "pairs")
+    dealt, c = split(stored, c, ["resume_id"], "_cpart")
+    dealt, j = split(dealt, j, ["job_id"], "_jpart")
+    return dealt.join(c, ["resume_id", "_cpart"]).join(j, ["job_id", "_jpart"]).drop("_cpart", "_jpart")
 
 
 # ------------------------------------------------------------ skills modes ---

@@ -11,6 +11,8 @@ more copying but never a wrong result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,23 +32,29 @@ def heavy_cells(rows: DataFrame, on: list[str], shares: int | None = None) -> di
     """
     shares = shares or max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = rows.groupBy(_cell(on).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    fair = F.greatest(F.lit(1.0), F.col("total") / shares)
-    found = (counts.crossJoin(F.broadcast(total)).where(F.col("n") > fair)  # total is one row
-             .select("cell", F.ceil(F.col("n") / fair).cast("int").alias("parts")).collect())
-    return {r["cell"]: r["parts"] for r in found}
+    # one row: the sum, and as many of the largest cells as can be heavy
+    top = counts.agg(F.sum("n").alias("total"), F.slice(F.sort_array(F.collect_list(F.struct("n", "cell")), False), 1, shares)
+                     .alias("cells")).first()
+    fair = max(1.0, (top["total"] or 0) / shares)
+    return {c["cell"]: math.ceil(c["n"] / fair) for c in top["cells"] if c["n"] > fair}
 
 
-def join_split(large: DataFrame, other: DataFrame, on: list[str], how: str = "inner", shares: int | None = None) -> DataFrame:
-    """``large`` joined with ``other`` on equal keys; heavy keys of ``large`` are split over several tasks.
+def split(large: DataFrame, other: DataFrame, on: list[str], part: str = "_part",
+          shares: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``part``: each row of ``large`` in one part of its key, each row of ``other`` in all.
 
-    ``how`` is inner or left: each row of ``large`` lies in one part, each
-    row of ``other`` in every part of its key.
+    Joining on the keys and ``part`` equals joining on the keys; more columns may
+    join along. Without a heavy key everything is part 0.
     """
     heavy = heavy_cells(large, on, shares)
     if not heavy:
-        return large.join(other, on, how)
-    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), _cell(on)), F.lit(1))
+        return large.withColumn(part, F.lit(0)), other.withColumn(part, F.lit(0))
+    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), _cell(on)), F.lit(1))
     deal = F.pmod(F.xxhash64(*large.columns), parts).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), parts - 1))
-    return large.withColumn("_part", deal).join(other.withColumn("_part", copies), [*on, "_part"], how).drop("_part")
+    return large.withColumn(part, deal), other.withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
+def join_split(large: DataFrame, other: DataFrame, on: list[str], how: str = "inner", shares: int | None = None) -> DataFrame:
+    """``large`` joined (inner or left) with ``other`` on equal keys; heavy keys of ``large`` are split over several tasks."""
+    left, right = split(large, other, on, "_part", shares)
+    return left.join(right, [*on, "_part"], how).drop("_part")

@@ -25,6 +25,7 @@ Scale notes
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vitae.functions.text import clean, terms
 from vitae.operators import impact
-from vitae.operators.skew import join_split
+from vitae.operators.skew import join_split, split
 from vitae.session import materialize, row_count_at_most
 
 # Rows of a table we allow to be broadcast to every task (each row is a term
@@ -147,7 +148,7 @@ def _join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     """Join, broadcasting ``small`` only when a row count proves it small."""
     if row_count_at_most(small, limit):
         return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    return join_split(big, small, [on], how)
 
 
 def weights(tt: DataFrame, vocab: Vocabulary, normalise: bool = True,
@@ -237,12 +238,16 @@ def rowwise_cosine(pairs: DataFrame, left_w: DataFrame, right_w: DataFrame,
     """Cosine of given ``(lid, rid)`` pairs only — the diagonal, never the product.
 
     Two equi-joins: pairs with left weights on ``lid``, then with right weights on
-    ``(rid, term)``; cost is linear in pairs × terms. Pairs without a shared term
-    get 0. Output ``lid, rid, score``.
+    ``(rid, term)``; cost is linear in pairs × terms. Ids that many pairs share are split
+    by their measured frequency among the pairs, before any term is
+    joined. Pairs without a shared term get 0. Output ``lid, rid, score``.
     """
+    pairs = materialize(pairs.select("lid", "rid"), "pairs")
     lw = left_w.select(F.col("id").alias("lid"), "term", F.col("w").alias("lw"))
     rw = right_w.select(F.col("id").alias("rid"), "term", F.col("w").alias("rw"))
-    expanded = pairs.select("lid", "rid").join(lw, "lid").join(rw, ["rid", "term"])
+    dealt, lw = split(pairs, lw, ["lid"], "_lpart")
+    dealt, rw = split(dealt, rw, ["rid"], "_rpart")
+    expanded = dealt.join(lw, ["lid", "_lpart"]).join(rw, ["rid", "term", "_rpart"])
     dots = expanded.groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("dot"))
     score = F.coalesce("dot", F.lit(0.0))
     return (pairs.select("lid", "rid").join(dots, ["lid", "rid"], "left")
@@ -259,11 +264,12 @@ def pair_similarity(pairs: DataFrame, left_tt: DataFrame, right_tt: DataFrame,
     ``pairs`` holds ``(lid, rid)``; term tables hold ``(id, term, cnt)``.
     Output ``lid, rid, score``.
     """
-    one_side = 1.0 + float(__import__("math").log(1.5))
-    l = (pairs.select("lid", "rid").join(
-        left_tt.where(F.col("term").isNotNull()).select(F.col("id").alias("lid"), "term", F.col("cnt").alias("lc")), "lid"))
-    r = (pairs.select("lid", "rid").join(
-        right_tt.where(F.col("term").isNotNull()).select(F.col("id").alias("rid"), "term", F.col("cnt").alias("rc")), "rid"))
+    one_side = 1.0 + math.log(1.5)
+    pairs = materialize(pairs.select("lid", "rid"), "pairs")
+    l = join_split(pairs, left_tt.where(F.col("term").isNotNull()).select(
+        F.col("id").alias("lid"), "term", F.col("cnt").alias("lc")), ["lid"])
+    r = join_split(pairs, right_tt.where(F.col("term").isNotNull()).select(
+        F.col("id").alias("rid"), "term", F.col("cnt").alias("rc")), ["rid"])
     both = l.join(r, ["lid", "rid", "term"], "full_outer")
     idf = F.when(F.col("lc").isNotNull() & F.col("rc").isNotNull(), F.lit(1.0)).otherwise(F.lit(one_side))
     lw = F.coalesce(F.col("lc"), F.lit(0)) * idf

@@ -8,6 +8,7 @@ from vitae.functions import text as TX
 from vitae.operators import intake as IN
 from vitae.plans import sql as S
 from vitae.plans.catalog import register
+from vitae.sources.io import NO_TEXT
 from vitae.sources.tables import table
 
 WSC = r"[ \t\n\r\f\x0B]"
@@ -102,3 +103,16 @@ def intake_processed(spark, sf_dir):
     v = IN.validate_intake(_pages(spark, sf_dir), extensions=PAGE_EXTENSIONS,
                            max_file=PAGE_MAX_FILE, max_batch=PAGE_MAX_BATCH)
     return IN.processed_only(v).select("page_id", "filename", "size", "batch_id")
+
+
+@register("intake_parsed", """
+SELECT source AS batch_id, count(*) FILTER (WHERE coalesce(text, '') <> '') AS processed,
+       count(*) FILTER (WHERE coalesce(text, '') = '') AS errors,
+       count(*) FILTER (WHERE coalesce(text, '') <> '') > 0 AS success
+FROM documents GROUP BY source""")
+def intake_parsed(spark, sf_dir):
+    """Documents as files of their source's batch: processed, or a parse error where there is no text."""
+    docs = table(spark, sf_dir, "documents", "source", "text")
+    error = F.when(F.coalesce("text", F.lit("")) == "", NO_TEXT)
+    files = docs.select(F.col("source").alias("batch_id"), F.lit("processed").alias("status"), error.alias("error"))
+    return IN.intake_counts(IN.parsed(files))
