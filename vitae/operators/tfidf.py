@@ -215,13 +215,12 @@ def best_match_from_terms(tr: DataFrame, tj: DataFrame, vocab: Vocabulary, *, di
     row of the resumes' weights, which is then work in proportion to them; else the index
     ordered by impact sums only pairs that can win. Both give the same rows.
     """
-    wr = materialize(weights(tr, vocab), "weights_r")
-    wj = materialize(weights(tj, vocab), "weights_j")
+    wr, wj = weights(tr, vocab), weights(tj, vocab)
     if pruned is None:
-        pruned = common_rows(wr, wj) > DIRECT_ROWS * wr.count()
+        pruned = common_rows(tr, tj) > DIRECT_ROWS * tr.count()
     if pruned:
-        scored = impact.best_scores(wr, wj, digits)
-    else:
+        scored = impact.best_scores(materialize(wr, "weights_r"), materialize(wj, "weights_j"), digits)
+    else:  # the weights keep their partitioning by id, which the sums and the best of each reuse
         scored = dot_products(wr, wj, limit=limit).select("lid", "rid", F.round("dot", digits).alias("score"))
     # The largest score, then the smallest id: ~id falls as id rises, for any long. A score that rounds to 0
     # ties with every job, also with those that share no term: the first one is named.

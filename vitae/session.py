@@ -93,17 +93,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a ``materialize`` result that no plan reads any more."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tables/" in folder and folder.startswith(base.split(":")[0] if ":" in base else "file"):
-            path = hadoop.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; scans at most limit+1 rows."""
     return df.limit(limit + 1).count() <= limit
