@@ -107,7 +107,9 @@ EXPERIENCE_SECTION_END = (r"^(?:education|skills|certifications|references|proje
 # ---------------------------------------------------------------------------
 # Certification line patterns.
 # ---------------------------------------------------------------------------
-MONTH_YEAR = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}"
+CERT_NAME_ACRONYM = r"(.*?)\s*\(([A-Z]{2,})\)"
+CERT_ACRONYM_NAME = r"([A-Z]{2,})\s*\((.*?)\)"
+LIST_MARKER = r"^(?:•|\*|-|\d+\.|\–)\s+"
 CERT_DATE = r"(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}|(?:\d{1,2}/\d{1,2}/\d{4}|\d{4}))"
 CERT_STANDARD = (r"([\w\s\-\(\)]+?)(?:\s*[-–:]\s*|\s+by\s+|\s+from\s+)([\w\s\-\&\.]+)(?:,\s*|\s+|\s*\()"
                  r"((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}|(?:\d{1,2}/\d{1,2}/\d{4}|\d{4}))")

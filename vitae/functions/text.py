@@ -65,17 +65,6 @@ def parse_list(col) -> Column:
         F.coalesce(parsed, F.array(_c(col))))
 
 
-def join_list(col, mode: str | None = None) -> Column:
-    """Join a list column by single spaces; optionally clean the result."""
-    joined = F.array_join(_c(col), " ")
-    return clean(joined, mode) if mode else joined
-
-
-def light_join(col) -> Column:
-    """Lower-case and trim each element, then join by a space (punctuation kept)."""
-    return F.array_join(F.transform(_c(col), lambda s: strip_ws(F.lower(s))), " ")
-
-
 def text_sample(col, n: int = 300) -> Column:
     """First ``n`` characters, with ``...`` appended when the text is longer."""
     return F.when(F.length(_c(col)) > n,
