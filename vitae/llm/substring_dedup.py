@@ -17,8 +17,6 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +24,6 @@ from pyspark.sql import functions as F
 
 from vitae.llm import blocks
 from vitae.llm.words import Texts, WordHash, rolling, slices, texts_of
-from vitae.session import materialize
 
 WINDOW = 35
 #: A difference cover: each remainder modulo PERIOD is a difference of two members.
@@ -58,12 +55,25 @@ def _member(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
     return sorted_keys[where] == values, where
 
 
+def _both(ones: np.ndarray, twos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair (a, b) is among the pairs (ones, twos), which are sorted by ones."""
+    ok, where = _member(ones, a)
+    same = np.zeros(len(a), bool)
+    while ok.any():  # more than once only where different pairs share their first hash
+        same |= ok & (twos[where] == b)
+        after = np.minimum(where + 1, len(ones) - 1)
+        ok &= ~same & (after > where) & (ones[after] == a)
+        where = after
+    return same
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _parts(docs: pa.Table):
-    for batch in docs.combine_chunks().to_batches():
+    """A block's documents in the order of their rows, whatever order they arrive in: places count along it."""
+    for batch in docs.sort_by("row").combine_chunks().to_batches():
         yield from slices(batch, "text")
 
 
@@ -84,48 +94,63 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         ["h", "block", "n"])
 
     seen = staged.mapInArrow(anchors, "h long, block long, n int")
-    repeated = materialize(seen.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where("all > 1")
-                           .select("block", "h").distinct(), "substring-anchors")
+    repeated = seen.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where("all > 1").select("block", "h").distinct()
 
     def extend(docs_: pa.Table, keys: pa.Table) -> pa.Table:
         known = np.sort(keys["h"].to_numpy().view(np.uint64)) if keys.num_rows else np.zeros(0, np.uint64)
-        ones, twos = [], []
+        ones, twos, places, base = [], [], [], 0
         for part in _parts(docs_) if len(known) else ():
             t = texts_of(part.column(part.schema.get_field_index("text")))
             words = _A(t.buf, t.starts, t.ends)
             at, h = _anchors(t, words, window)
             hit = np.zeros(len(words) + window + 1, np.int64)
             hit[at[_member(known, h)[0]] + 1] = 1
-            if not hit.any():
-                continue
-            hit = np.cumsum(hit)
-            at, one, two = _windows(t, words, window)
-            near = hit[at + PERIOD] > hit[at]
-            ones.append(one[near])
-            twos.append(two[near])
-        pair = np.stack([np.concatenate(ones), np.concatenate(twos)], 1) if ones else np.zeros((0, 2), np.uint64)
-        pair, n = np.unique(pair, axis=0, return_counts=True) if len(pair) else (pair, np.zeros(0, np.int64))
+            if hit.any():
+                hit = np.cumsum(hit)
+                at, one, two = _windows(t, words, window)
+                near = hit[at + PERIOD] > hit[at]
+                ones.append(one[near])
+                twos.append(two[near])
+                places.append(base + at[near])
+            base += len(words)
+        one, two, place = (np.concatenate(x) if x else np.zeros(0, k)
+                           for x, k in ((ones, np.uint64), (twos, np.uint64), (places, np.int64)))
+        order = np.lexsort((two, one))
+        one, two, place = one[order], two[order], place[order]
+        first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(one)])
         block = (docs_ if docs_.num_rows else keys)["block"][0].as_py()
-        return pa.table({"h": _long(pair[:, 0].copy()), "h2": _long(pair[:, 1].copy()),
-                         "block": pa.array(np.full(len(n), block, np.int64)), "n": pa.array(n.astype(np.int32))})
+        return pa.table({"h": _long(one[first]), "h2": _long(two[first]), "block": pa.array(np.full(len(n), block, np.int64)),
+                         "place": pa.array(place[first]), "n": pa.array(n.astype(np.int32))})
 
-    found = blocks.with_keys(staged, repeated, extend, "h long, h2 long, block long, n int")
-    same = Window.partitionBy("h", "h2")
-    copied = materialize(found.withColumn("all", F.sum("n").over(same)).where("all > 1").select("block", "h", "h2"),
-                         "substring-windows")
+    found = blocks.with_keys(staged, repeated, extend, "h long, h2 long, block long, place long, n int")
+    # what returns to a block is where in it a repeated window stands, not the window's hashes
+    copied = found.withColumn("all", F.sum("n").over(Window.partitionBy("h", "h2"))).where("all > 1").select("block", "place")
 
     def remove(docs_: pa.Table, keys: pa.Table) -> pa.Table:
-        one, two = (keys[c].to_numpy().view(np.uint64) for c in ("h", "h2"))
+        place = np.sort(keys["place"].to_numpy())
+        texts, base = [], 0
+        ones, twos = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for part in _parts(docs_):
+            t = texts_of(part.column(part.schema.get_field_index("text")))
+            windows = None
+            if len(place):
+                windows = at, one, two = _windows(t, _A(t.buf, t.starts, t.ends), window)
+                here = place[np.searchsorted(place, base):np.searchsorted(place, base + len(t.starts))] - base
+                here = np.searchsorted(at, here)
+                ones.append(one[here])
+                twos.append(two[here])
+            texts.append((part, t, windows))
+            base += len(t.starts)
+        one, two = np.concatenate(ones), np.concatenate(twos)
         order = np.argsort(one)
         one, two = one[order], two[order]
         ids, n_words, n_removed, kept = [], [], [], []
-        for part in _parts(docs_):
-            t = texts_of(part.column(part.schema.get_field_index("text")))
+        for part, t, windows in texts:
             drop = np.zeros(len(t.starts) + 1, np.int64)
-            if len(one):
-                at, a, b = _windows(t, _A(t.buf, t.starts, t.ends), window)
-                ok, where = _member(one, a)
-                ok &= two[where] == b
+            if windows:
+                at, a, b = windows
+                ok = _both(one, two, a, b)
                 np.add.at(drop, at[ok], 1)
                 np.add.at(drop, at[ok] + window, -1)
             drop = np.cumsum(drop)[:-1] > 0

@@ -8,6 +8,8 @@ and no Python object per word.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +18,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
+#: glibc's malloc_trim, where the C library has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def released(fn):
+    """``fn``, a function from batches to batches, that releases a task's memory at its end."""
+    def run(batches):
+        yield from fn(batches)
+        release()
+    return run
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -40,17 +61,24 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], _U))[0])
 
 
+#: A polynomial modulo 2**64 is a sound hash of words up to this length only: patterns such as the
+#: Thue-Morse sequence make it vanish for longer ones.
+POLYNOMIAL = 64
+
+
 class WordHash:
-    """A 64-bit polynomial hash of byte strings modulo 2**64, finalised by ``mix``.
+    """A 64-bit hash of byte strings: a polynomial modulo 2**64, finalised by ``mix``, or BLAKE2 of longer words.
 
     Byte values go through a seeded table of random odd 64-bit numbers; prefix
-    sums over a chunk give every word's hash in a few array operations.
+    sums over a chunk give every word's hash in a few array operations. Words of
+    more than POLYNOMIAL bytes are hashed one by one.
     """
 
     def __init__(self, seed: int, lower: bool = False):
         rng = np.random.default_rng(seed)
         table = rng.integers(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
         self.table = table[LOWER] if lower else table
+        self.lower, self.key = lower, seed.to_bytes(8, "little")
         self.p = int(rng.integers(2**40, 2**60)) * 8 + 5
         self.inv = pow(self.p, -1, 2**64)
         self._pow = self._ipow = np.ones(1, _U)
@@ -75,7 +103,11 @@ class WordHash:
             a, b = starts[i:j] - base, ends[i:j] - base
             out[i:j] = (sums[b] - sums[a]) * self._ipow[a] + (b - a).astype(_U)
             i = j
-        return mix(out)
+        out = mix(out)
+        for i in np.flatnonzero(ends - starts > POLYNOMIAL).tolist():
+            word = LOWER[buf[starts[i]:ends[i]]] if self.lower else buf[starts[i]:ends[i]]
+            out[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, key=self.key).digest(), "little")
+        return out
 
 
 @dataclass
