@@ -1,13 +1,17 @@
 """Harmonic packing of token documents into sequences of a fixed capacity.
 
-The classes are the reciprocal capacities C, C/2, C/4, ... 1 of C = 2048. A
-document is cut into as many full sequences as it holds and one piece for each
-power of two in the rest, so every piece fills its class exactly: a class's
-sequence takes a fixed number of its pieces, C / length. Each task fills its
-own sequences, class by class, without looking at any other task. At the end
-of a task the pieces left in an open sequence are closed into groups of a
-power of two of pieces; such a sequence's length is a power of two, which
-needs no padding.
+A document's class is the reciprocal of the capacity that it fits: class k holds
+lengths above C / (k + 1) and up to C / k of C = 2048. A sequence of class k takes
+exactly k documents of that class, whole, and each task fills its own sequences
+without looking at any other task. What k documents leave free is filled by the
+next document that is no longer than all the room left free so far; only such
+documents are cut, to the room of one sequence after the other. A document longer
+than a sequence gives full sequences, and its rest is placed like a document.
+
+A sequence is written once it is full, so a task holds at most k documents for each
+of C classes and the sequences that wait to be filled, whose free room is
+below two sequences in all. At its end what is left is laid end to end and cut into
+full sequences, the last into powers of two: no sequence needs padding.
 
 Defined cases: a null text is empty and gives the end id alone; a document
 longer than a sequence spans several; rows that repeat are packed each; a null
@@ -16,7 +20,8 @@ id stays null; an empty table gives no rows; other columns are not kept.
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,80 +30,111 @@ from pyspark.sql import functions as F
 from vitae.llm.tokenizing import encoded
 
 CAPACITY = 2048
-CLASSES = CAPACITY.bit_length()  # class c holds pieces of CAPACITY >> c tokens
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def cut(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of documents of ``n`` tokens: (document, class, start in the document)."""
-    counts = np.zeros((len(n), CLASSES), np.int64)
-    counts[:, 0] = n // CAPACITY
-    for c in range(1, CLASSES):
-        counts[:, c] = (n >> (CLASSES - 1 - c)) & 1
-    flat = counts.ravel()
-    cls = np.repeat(np.tile(np.arange(CLASSES), len(n)), flat)
-    doc = np.repeat(np.repeat(np.arange(len(n)), CLASSES), flat)
-    length = CAPACITY >> cls
-    ends = np.cumsum(length)
-    return doc, cls, ends - length - (np.cumsum(n) - n)[doc]
-
-
 class Packer:
-    """Fills the sequences of one task."""
-
-    def __init__(self, task: int):
-        self.task = task
-        self.open: list[list[tuple]] = [[] for _ in range(CLASSES)]
-        self.closed = [0] * CLASSES
-
-    def _place(self, c: int, pieces: list[tuple], per: int) -> list[tuple]:
-        length, base = CAPACITY >> c, (self.task * CLASSES + c) << 32
-        out = [(*p, base + self.closed[c] + k // per, (k % per) * length) for k, p in enumerate(pieces)]
-        self.closed[c] += len(pieces) // per
-        return out
-
-    def add(self, doc_ids: list, ids: list[bytes]) -> list[tuple]:
-        n = np.array([len(b) // 4 for b in ids], np.int64)
-        doc, cls, start = cut(n)
-        out = []
-        for c in range(CLASSES):
-            at = np.flatnonzero(cls == c)
-            length, per = CAPACITY >> c, 1 << c
-            held = self.open[c] + [
-                (doc_ids[d], s, length, m, ids[d][4 * s:4 * (s + length)])
-                for d, s, m in zip(doc[at].tolist(), start[at].tolist(), n[doc[at]].tolist())]
-            full = len(held) - len(held) % per
-            out += self._place(c, held[:full], per)
-            self.open[c] = held[full:]
-        return out
-
-    def finish(self) -> list[tuple]:
-        out = []
-        for c in range(CLASSES):
-            left = self.open[c]
-            while left:
-                per = 1 << (len(left).bit_length() - 1)
-                out += self._place(c, left[:per], per)
-                left = left[per:]
+    """Fills the sequences of one task. Pieces are (doc_id, start, tokens of the document, ids as bytes)."""
+
+    def __init__(self, task: int, capacity: int = CAPACITY):
+        self.capacity = capacity
+        self.next = task << 32
+        self.classes: dict[int, list[tuple]] = {}
+        self.waiting: deque[list] = deque()  # [free room, pieces] of sequences that have all their documents
+        self.room = 0
+        self.out: list[tuple] = []
+
+    def _close(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for doc, start, total, ids in pieces:
+            length = len(ids) // 4
+            self.out.append((doc, start, length, total, self.next, offset, ids))
+            offset += length
+        self.next += 1
+
+    def _fill(self, piece: tuple) -> None:
+        """Cut a piece to the room left free, which it does not exceed."""
+        doc, start, total, ids = piece
+        at = 0
+        while at < len(ids):
+            free, pieces = self.waiting[0]
+            part = ids[at:at + 4 * free]
+            pieces.append((doc, start + at // 4, total, part))
+            at += len(part)
+            self.room -= len(part) // 4
+            if len(part) == 4 * free:
+                self._close(pieces)
+                self.waiting.popleft()
+            else:
+                self.waiting[0][0] -= len(part) // 4
+
+    def add(self, doc, ids: bytes) -> None:
+        total, step = len(ids) // 4, 4 * self.capacity
+        whole = len(ids) - len(ids) % step
+        for at in range(0, whole, step):
+            self._close([(doc, at // 4, total, ids[at:at + step])])
+        n = (len(ids) - whole) // 4
+        if not n:
+            return
+        piece = (doc, whole // 4, total, ids[whole:])
+        if n <= self.room:
+            self._fill(piece)
+            return
+        k = self.capacity // n
+        held = self.classes.setdefault(k, [])
+        held.append(piece)
+        if len(held) == k:
+            del self.classes[k]
+            free = self.capacity - sum(len(p[3]) for p in held) // 4
+            if free:
+                self.waiting.append([free, held])
+                self.room += free
+            else:
+                self._close(held)
+
+    def finish(self) -> None:
+        left = [p for _, pieces in self.waiting for p in pieces] + [p for pieces in self.classes.values() for p in pieces]
+        rest = sum(len(p[3]) for p in left) // 4
+        pieces, free = [], 0
+        for doc, start, total, ids in left:
+            at = 0
+            while at < len(ids):
+                if not free:
+                    # full sequences, then the greatest power of two that is left
+                    size = free = self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1)
+                    rest -= size
+                part = ids[at:at + 4 * free]
+                pieces.append((doc, start + at // 4, total, part))
+                at += len(part)
+                free -= len(part) // 4
+                if not free:
+                    self._close(pieces)
+                    pieces = []
+        self.waiting.clear()
+        self.classes.clear()
+
+    def taken(self) -> list[tuple]:
+        out, self.out = self.out, []
         return out
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", spaced: bool = True, end: int = 1) -> DataFrame:
     """One row per piece, with its ids as little-endian unsigned 32-bit bytes."""
-    names = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
-    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.binary()]
 
     def batch_of(rows):
         columns = list(zip(*rows)) or [[]] * len(names)
-        made = dict(zip(names, (pa.array(list(c), k) for c, k in zip(columns, kinds))))
-        order = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-        return pa.RecordBatch.from_arrays([made[k] for k in order], order)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
     def fill(batches):
         packer = Packer(TaskContext.get().partitionId())
         for rows, ids in encoded(batches, tokenizer, spaced, end):
-            yield batch_of(packer.add(rows.column(0).to_pylist(), ids))
-        yield batch_of(packer.finish())
+            for doc, b in zip(rows.column(0).to_pylist(), ids):
+                packer.add(doc, b)
+            yield batch_of(packer.taken())
+        packer.finish()
+        yield batch_of(packer.taken())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fill, SCHEMA)
 

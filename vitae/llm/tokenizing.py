@@ -15,11 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from vitae.llm.words import slices
+from vitae.llm.words import release, slices
 
 #: Pieces remembered by a worker before it starts afresh.
 PIECES = 600_000
-STOPS = (".", ",")
+#: Characters that are never merged with a letter before them, nor part of a special token or a contraction.
+STOPS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_STOPS = frozenset(STOPS)
+#: Runs of stops remembered.
+STOP_RUNS = 10_000
+#: Pieces up to this length stay when a worker starts afresh: the frequent words are short.
+STAY = 6
 #: A longer piece is not remembered.
 LONGEST = 64
 
@@ -45,7 +51,7 @@ class Encoder:
         self.model = Tokenizer.from_file(tokenizer_path(name))
         self.spaced = spaced
         self.known: dict[str, bytes | None] = {}
-        self.stops = {c: self.ids(c) for c in STOPS}
+        self.stops: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -55,12 +61,13 @@ class Encoder:
         known, lead = self.known, " " if self.spaced else ""
         new = [w for w in pieces if w not in known]
         if len(known) + len(new) > PIECES:
-            known.clear()
-            new = list(pieces)
-        # Letters and a stop or comma behind them are never merged: their ids are those of the two in a row.
-        ended = [w for w in new if w[-1:] in STOPS and w[-2:-1].isalpha()]
+            kept = {w: b for w, b in known.items() if len(w) <= STAY}
+            self.known = known = kept if len(kept) + len(pieces) < PIECES // 2 else {}
+            new = [w for w in pieces if w not in known]
+        # A letter and the stops behind it are never merged: their ids are those of the two in a row.
+        ended = {w: s for w in new if w[-1:] in _STOPS and (s := w.rstrip(STOPS))[-1:].isalpha()}
         new = {*new}.difference(ended)
-        new.update(w[:-1] for w in ended if w[:-1] not in known)
+        new.update(s for s in ended.values() if s not in known)
         new = list(new)
         found = self.model.encode_batch_fast([lead + w for w in new], add_special_tokens=False)
         rare = {}
@@ -69,9 +76,13 @@ class Encoder:
             if self.spaced and (not w or w[-1].isspace()):
                 value = None  # the run of white space it ends in goes on in the next piece
             (known if len(w) <= LONGEST else rare)[w] = value
-        for w in ended:
-            stem = w[:-1]
-            (known if len(w) <= LONGEST else rare)[w] = (known[stem] if stem in known else rare[stem]) + self.stops[w[-1]]
+        for w, stem in ended.items():
+            stops = w[len(stem):]
+            if stops not in self.stops:
+                if len(self.stops) > STOP_RUNS:
+                    self.stops.clear()
+                self.stops[stops] = self.ids(stops)
+            (known if len(w) <= LONGEST else rare)[w] = (known[stem] if stem in known else rare[stem]) + self.stops[stops]
         return rare
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -119,3 +130,4 @@ def encoded(batches, name: str, spaced: bool, end: int) -> Iterator[tuple[pa.Rec
         for part in slices(batch, "text"):
             texts = part.column(part.schema.get_field_index("text")).fill_null("").to_pylist()
             yield part, [b + tail for b in model.encode(texts)]
+    release()
