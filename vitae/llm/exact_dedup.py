@@ -9,7 +9,7 @@ per task.
 Defined cases: a null text counts as empty and equals other empty texts; a
 null id is smaller than every other id; of rows that repeat id and text
 exactly one is kept; an empty table gives no rows; other columns pass through,
-``__hash`` and ``__text`` are the only names that may not occur.
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from vitae.session import materialize
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__text``, null made empty, and its 128-bit ``__hash``."""
-    return (docs.withColumn("__text", F.coalesce("text", F.lit("")))
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """``columns`` of ``docs``, ``__text``, null made empty, and its 128-bit ``__hash``."""
+    return (docs.select(*columns, F.coalesce("text", F.lit("")).alias("__text"))
             .withColumn("__hash", F.unhex(F.md5(F.encode("__text", "UTF-8")))))
 
 
@@ -33,10 +33,11 @@ def deduplicate(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     in one shuffle, already folded by task.
     """
     pick = F.min_by if keep == "smallest" else F.max_by
-    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null"))
-    kept = _keyed(docs).groupBy("__hash", "__text").agg(pick(row, F.struct("doc_id")).alias("__row"))
-    text = F.when(~F.col("__row.__null"), F.col("__text")).alias("text")
-    return kept.select(*[text if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"])
+    row = F.struct(rest.alias("doc"), docs["text"].isNull().alias("none")).alias("__row")
+    kept = _keyed(docs, row).groupBy("__hash", "__text").agg(pick("__row", F.struct("__row.doc.doc_id")).alias("__row"))
+    text = F.when(~F.col("__row.none"), F.col("__text")).alias("text")
+    return kept.select(*[text if c == "text" else F.col("__row.doc")[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -47,7 +48,7 @@ def report(docs: DataFrame, keep: str = "largest") -> DataFrame:
     texts, its rows join on the text as well.
     """
     staged = materialize(
-        _keyed(docs.select("doc_id", "text")).drop("text")
+        _keyed(docs, "doc_id")
         .withColumn("__sha", F.sha2(F.encode("__text", "UTF-8"), 256))
         .withColumn("__rowno", F.monotonically_increasing_id()), "exact-docs")
     pick = F.min if keep == "smallest" else F.max

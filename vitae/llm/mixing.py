@@ -66,8 +66,10 @@ def offset(source: str, seed: int = 0):
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__size`` (words) and ``__tie`` (hash of the text, orders rows that share size and id)."""
-    return docs.withColumn("__size", text_size()).withColumn("__tie", F.xxhash64("text"))
+    """doc_id, source, ``__size`` (words), ``__tie`` (hash of the text, orders rows that share size and id), and all
+    columns of the row in ``__doc``, out of the way of the names used here."""
+    return docs.select("doc_id", "source", text_size().alias("__size"), F.xxhash64("text").alias("__tie"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("__doc"))
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, budget: float = 1.0, most: float = MOST, seed: int = 0) -> DataFrame:
@@ -108,7 +110,7 @@ def report(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents, each as often as it is taken, with the columns of ``docs``."""
     rows = plan(sized(docs), **how).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return rows.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__doc.*")
 
 
 REPORT_SQL = r"""
