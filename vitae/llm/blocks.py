@@ -84,3 +84,57 @@ def summed(rows: DataFrame, kind, size: int) -> np.ndarray:
 
     got = rows.repartition(16, "chunk").mapInArrow(add, SUMS).orderBy("chunk").collect()
     return np.concatenate([np.frombuffer(r["sums"], wide) for r in got]) if got else np.zeros(size, wide)
+
+
+COUNTS = "key long, n long"
+
+
+class Tally:
+    """Counts of keys that one task meets, merged whenever ``most`` entries wait."""
+
+    def __init__(self, most: int = 1 << 21):
+        self.most, self.held, self.waiting = most, 0, []
+
+    def add(self, keys: np.ndarray) -> None:
+        found = np.unique(keys, return_counts=True)
+        self.waiting.append(found)
+        self.held += len(found[0])
+        if self.held > self.most:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip(*self.waiting))
+        one, back = np.unique(keys, return_inverse=True)
+        self.waiting = [(one, np.bincount(back, n, minlength=len(one)).astype(np.int64))]
+        self.held = 0 if len(one) > self.most // 2 else len(one)  # many different keys: merge less often
+
+    def batch(self) -> pa.RecordBatch:
+        if self.waiting:
+            self._merge()
+        keys, n = self.waiting[0] if self.waiting else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+
+def counted(rows: DataFrame, size: int, kind=np.int64, chunk: int = 1 << 18) -> np.ndarray:
+    """The counts of keys 0 to ``size`` - 1 over all tasks' rows of COUNTS, as one array.
+
+    Only keys that occur are shuffled; they are laid out chunk by chunk where they
+    arrive. The array, whose size does not depend on the data, reaches the driver.
+    """
+    def lay(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            key, n = (c.to_numpy() for c in batch.columns)
+            for c in np.unique(key // chunk).tolist():
+                here = key // chunk == c
+                out.setdefault(c, np.zeros(min(chunk, size - c * chunk), kind))[key[here] - c * chunk] += n[here].astype(kind)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(out), pa.int64()),
+                                          "sums": pa.array([x.tobytes() for x in out.values()], pa.binary())})
+
+    summed_ = rows.groupBy("key").agg(F.sum("n").alias("n"))
+    got = summed_.repartition(16, F.floor(F.col("key") / chunk)).mapInArrow(lay, SUMS).collect()
+    total = np.zeros(size, kind)
+    for r in got:
+        found = np.frombuffer(r["sums"], kind)
+        total[r["chunk"] * chunk:r["chunk"] * chunk + len(found)] = found
+    return total
