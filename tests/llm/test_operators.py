@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vitae.llm import (blocks, components, embedding_dedup, exact_dedup, lm_scoring, mixing, near_dedup, packing,
                        quality, substring_dedup, token_output, toxicity)
@@ -78,6 +79,37 @@ def test_classifiers_score_every_row(spark, docs, none, labels, rows, model):
     assert model.score_documents(docs, labels.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("model", [toxicity, quality])
+def test_classifiers_without_labels_or_with_one_class(spark, docs, labels, rows, model):
+    column = "toxic" if model is toxicity else "quality"
+    none = model.score_documents(docs, labels.limit(0)).collect()
+    assert len(none) == len(rows) and all(0 <= r.score <= 1 for r in none)
+    if model is quality:
+        assert {r.score for r in none} == {0.5}
+        assert quality.statistics(texts_of(pa.array(["a b"]))).shape == (1, quality.DENSE + quality.SHAPES)
+    for side in (0, 1):
+        one = labels.withColumn(column, F.lit(side)).where("doc_id is not null")
+        got = model.score_documents(docs, one).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+        if model is quality:
+            assert {r.predicted for r in got} == {side}
+
+
+CLASHING = ["__row", "__size", "__null", "__before", "__doc", "__tie", "__hash", "__text", "row", "class_id", "doc", "kept"]
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.deduplicate, near_dedup.deduplicate, mixing.mix])
+def test_columns_with_clashing_names_pass_through(spark, docs, stage):
+    plain = docs.select("doc_id", "text", "source").where("doc_id < 12")
+    more = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in CLASHING])
+    got = stage(more)
+    assert got.columns == more.columns
+    found = got.collect()
+    assert sorted(str((r.doc_id, r.text, r.source)) for r in found) == sorted(
+        str(tuple(r[c] for c in ("doc_id", "text", "source"))) for r in stage(plain).select("doc_id", "text", "source").collect())
+    assert found and all(r[c] == f"{c}:{r.doc_id}" for r in found for c in CLASHING)
+
+
 def test_toxicity_learns_words():
     rng = random.Random(1)
     texts = [prose(rng, 40) + (" awful mean thing" if i % 4 == 0 else "") for i in range(600)]
@@ -110,6 +142,31 @@ def test_difference_cover():
         range(substring_dedup.PERIOD))
 
 
+def test_words_of_thue_morse_letters_do_not_collide(spark):
+    """Two words of 1024 letters whose polynomials modulo 2**64 are equal."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    t = texts_of(pa.array([f"{one} {two} {one.upper()}"]))
+    for seed in (303, 304, 606):
+        h = WordHash(seed)(t.buf, t.starts, t.ends)
+        low = WordHash(seed, lower=True)(t.buf, t.starts, t.ends)
+        assert len(set(h.tolist())) == 3 and low[0] == low[2] != low[1]
+    rest = " ".join(f"w{i}" for i in range(34))
+    frame = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{two} {rest}")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.report(frame).collect()}
+    assert got == {1: (35, 0), 2: (35, 35), 3: (35, 35)}
+
+
+def test_pairs_of_hashes_that_share_their_first():
+    one = np.array([1, 1, 1, 2, 5, 5], np.uint64)
+    two = np.array([7, 9, 8, 7, 3, 4], np.uint64)
+    a = np.array([1, 1, 1, 1, 2, 2, 5, 5, 6, 0], np.uint64)
+    b = np.array([7, 8, 9, 6, 7, 8, 4, 5, 4, 7], np.uint64)
+    assert substring_dedup._both(one, two, a, b).tolist() == [True, True, True, False, True, False, True, False, False, False]
+    none = np.zeros(0, np.uint64)
+    assert substring_dedup._both(none, none, a, b).sum() == 0
+
+
 def test_substring_dedup(docs, none, rows):
     want = sorted((str(r[0]), *x) for r, x in zip(rows, removed([r[1] for r in rows], 35)))
     got = substring_dedup.deduplicate(docs.select("doc_id", "text")).collect()
@@ -258,6 +315,22 @@ def test_cached_encoding_equals_the_library():
         e = Encoder(name, spaced)
         for _ in range(2):
             assert e.encode(texts) == [e.ids(t) for t in texts]
+        rng = random.Random(1)
+        odd = ["a", "Zé", "12", ".", ",", "###", "%%%", "'s", "'", "<|", "|>", "_", "e\u0301", "\u0301", "²", "ß", "-", "$", "\t", "\u3000", "漢", "…", "\""]
+        mixed = [" ".join("".join(rng.choice(odd) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+        assert e.encode(mixed) == [e.ids(t) for t in mixed]
+
+
+def test_encoder_starting_afresh(monkeypatch):
+    from vitae.llm import tokenizing
+    rng = random.Random(2)
+    texts = [prose(rng, 60) + "." for _ in range(80)]
+    for most in (50, 400):
+        monkeypatch.setattr(tokenizing, "PIECES", most)
+        e = Encoder("byte_bpe_50k.json", True)
+        for a in range(0, 80, 3):
+            assert e.encode(texts[a:a + 3]) == [e.ids(t) for t in texts[a:a + 3]]
+            assert len(e.known) <= 2 * most + 200
 
 
 def test_token_output(docs, none, rows):
@@ -276,23 +349,69 @@ def test_token_output(docs, none, rows):
 def test_packing(docs, none, rows):
     pieces = packing.pack(docs.select("doc_id", "text")).collect()
     e = Encoder("byte_bpe_50k.json", True)
-    have, used = collections.defaultdict(list), collections.defaultdict(list)
+    # every id of every row lies in exactly one piece: pieces of equal rows are told apart by their number
+    have = collections.defaultdict(list)
     for p in pieces:
-        have[p.doc_id].append((p.start, bytes(p.ids)))
-        used[p.sequence_id].append((p.offset, p.length))
-        assert len(p.ids) == 4 * p.length
-    for i, n in collections.Counter(r[0] for r in rows).items():
+        assert len(p.ids) == 4 * p.length and p.length > 0
+        have[p.doc_id].append((p.start, bytes(p.ids), p.doc_tokens))
+    for i, times in collections.Counter(r[0] for r in rows).items():
         text = next(r[1] for r in rows if r[0] == i)
-        assert b"".join(b for _, b in sorted(set(have[i]))) == e.ids(text or "") + b"\x01\0\0\0"
+        whole = e.ids(text or "") + b"\x01\0\0\0"
+        got = b"".join(b for _, b, _ in sorted(have.pop(i)))
+        assert len(got) == times * len(whole)
+        if times == 1:
+            assert got == whole
+    assert not have
+    _gapless(pieces)
+    joined = packing.sequences(packing.pack(docs.select("doc_id", "text"))).collect()
+    assert all(len(r.ids) == 4 * r.length for r in joined) and len(joined) == len({p.sequence_id for p in pieces})
+    assert packing.report(none.select("doc_id", "text")).count() == 0
+
+
+def _gapless(pieces):
+    used = collections.defaultdict(list)
+    for p in pieces:
+        used[p.sequence_id].append((p.offset, p.length))
     for v in used.values():
         total = 0
         for o, n in sorted(v):
             assert o == total
             total += n
         assert total <= 2048 and total & (total - 1) == 0
-    joined = packing.sequences(packing.pack(docs.select("doc_id", "text"))).collect()
-    assert all(len(r.ids) == 4 * r.length for r in joined) and len(joined) == len(used)
-    assert packing.report(none.select("doc_id", "text")).count() == 0
+
+
+def test_packing_classes():
+    """Pieces of a task against the rules: ids once, gapless, no padding, and each class's fixed count of whole documents."""
+    rng = random.Random(6)
+    for lengths in ([1], [2048], [2049], [1024, 1024], [700] * 20, [64] * 100, [1] * 5000, [2047, 1] * 30,
+                    [rng.choice([1, 5, 60, 300, 1025, 1500, 2048, 5000, 9000]) for _ in range(900)], list(range(1, 700))):
+        packer = packing.Packer(2)
+        most = 0
+        for i, n in enumerate(lengths):
+            packer.add(i, np.arange(n, dtype="<u4").tobytes())
+            most = max(most, packer.room)
+        packer.finish()
+        rows = packer.taken()
+        place = collections.Counter()
+        full = collections.defaultdict(list)
+        for doc, start, length, total, seq, offset, ids in rows:
+            assert total == lengths[doc] and np.frombuffer(ids, "<u4").tolist() == list(range(start, start + length))
+            place.update((doc, start + k) for k in range(length))
+            full[seq].append((offset, length, doc))
+            assert seq >> 32 == 2
+        assert set(place.values()) == {1} and len(place) == sum(lengths)
+        sizes = [sum(n for _, n, _ in v) for v in full.values()]
+        assert all(s == 2048 or s & (s - 1) == 0 for s in sizes) and sum(s < 2048 for s in sizes) <= 11 and most < 2 * 2048
+        for v in full.values():
+            assert [o for o, _, _ in sorted(v)] == list(np.cumsum([0, *[n for _, n, _ in sorted(v)]])[:-1])
+    packer = packing.Packer(0)
+    for i in range(30):
+        packer.add(i, bytes(4 * 600))  # class 3: three whole documents, then the room of 248 is filled
+    rows = packer.taken()
+    by = collections.defaultdict(list)
+    for doc, start, length, *_ , seq, offset, _ids in rows:
+        by[seq].append((offset, length))
+    assert by and all(sorted(v)[:3] == [(0, 600), (600, 600), (1200, 600)] for v in by.values())
 
 
 def test_lm_scoring(docs, none, rows):

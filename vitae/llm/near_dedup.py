@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from vitae.llm import blocks
 from vitae.llm.components import components
-from vitae.llm.words import Texts, WordHash, mix, mix_int, slices, texts_of
+from vitae.llm.words import Texts, WordHash, mix, mix_int, released, slices, texts_of
 from vitae.session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -167,7 +167,7 @@ def cell_weights(staged: DataFrame) -> np.ndarray:
                 df += np.bincount(pair % size, minlength=size)
         yield blocks.chunks(np.r_[df, docs])
 
-    got = blocks.summed(staged.select("text").mapInArrow(count, blocks.SUMS), np.int64, size + 1)
+    got = blocks.summed(staged.select("text").mapInArrow(released(count), blocks.SUMS), np.int64, size + 1)
     df, n = got[:size].astype(float), max(int(got[size]), 1)
     return np.log(1 + IDF_SHARE * np.maximum(np.log((1 + n) / (1 + df)), 0) / np.log(1 + n)).astype(np.float32)
 
@@ -193,7 +193,7 @@ def _signatures(staged: DataFrame, weights) -> DataFrame:
                     [part.column(0), part.column(1), part.column(3), pa.array(key, pa.binary()),
                      _lists(sig), pa.array(np.diff(first) > 0)], ["block", "doc_id", "row", "key", "sig", "filled"])
 
-    return staged.mapInArrow(sign, "block long, doc_id long, row long, key binary, sig array<int>, filled boolean")
+    return staged.mapInArrow(released(sign), "block long, doc_id long, row long, key binary, sig array<int>, filled boolean")
 
 
 def _verified(staged: DataFrame, pairs: DataFrame, weights, threshold: float) -> DataFrame:
@@ -230,7 +230,29 @@ def _verified(staged: DataFrame, pairs: DataFrame, weights, threshold: float) ->
                 ok.append(common >= threshold * (wa.sum() + wb.sum() - common) - 1e-9)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(both.mapInArrow(compare, "a long, b long"), "near-links")
+    return materialize(both.mapInArrow(released(compare), "a long, b long"), "near-links")
+
+
+def _linked(staged: DataFrame, pairs: DataFrame, weights, threshold: float,
+            links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, classes of their nodes) with ``pairs`` verified, those that could change no class left out.
+
+    First each node's pair with the smallest other node is compared, then what
+    still joins different classes: a group of copies costs about one comparison a node.
+    """
+    first = materialize(pairs.groupBy("b").agg(F.min(F.struct("a", "block_a", "block_b")).alias("x"))
+                        .select("x.a", "b", "x.block_a", "x.block_b"), "near-first")
+    found = _verified(staged, first, weights, threshold)
+    links = found if links is None else links.unionByName(found)
+    comp = materialize(components(links), "near-components")
+    of = [comp.select(F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab"]
+    rest = (pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
+            .where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b", "block_a", "block_b"))
+    rest = materialize(rest, "near-rest")
+    if not rest.isEmpty():
+        links = links.unionByName(_verified(staged, rest, weights, threshold))
+        comp = materialize(components(links), "near-components")
+    return links, comp
 
 
 def _further(staged: DataFrame, wanted: DataFrame, weights) -> DataFrame:
@@ -304,8 +326,7 @@ def _classes(staged: DataFrame, spark, threshold: float) -> DataFrame:
         F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"),
         F.when(first, F.col("block")).otherwise(F.col("h.block")).alias("block_a"),
         F.when(first, F.col("h.block")).otherwise(F.col("block")).alias("block_b")).distinct(), "near-pairs")
-    links = _verified(staged, pairs, weights, threshold)
-    comp = materialize(components(links), "near-components")
+    links, comp = _linked(staged, pairs, weights, threshold)
 
     placed = banded.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
@@ -322,8 +343,7 @@ def _classes(staged: DataFrame, spark, threshold: float) -> DataFrame:
     more = spread.groupBy("bucket", "p", "q").applyInArrow(_meet, "a long, b long, block_a long, block_b long")
     more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
-        links = links.unionByName(_verified(staged, more, weights, threshold))
-        comp = materialize(components(links), "near-components")
+        links, comp = _linked(staged, more, weights, threshold, links)
 
     of_key = nodes.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     of_key = materialize(of_key, "near-keys")
@@ -342,10 +362,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The row of each class with the smallest id (null before all), with the columns of ``docs``."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-docs")
-    placed = classes(numbered.select(F.col("__row").alias("doc_id"), "text"), threshold).select(
-        F.col("doc_id").alias("__row"), "class_id")
-    ids = numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"))
-    kept = ids.join(placed, "__row").groupBy("class_id").agg(F.min(F.struct("doc_id", "__row")).alias("best")).select(
-        F.col("best.__row").alias("__row"))
-    return numbered.join(materialize(kept, "near-kept"), "__row", "left_semi").select(*docs.columns)
+    # the row as one column, out of the way of the names used here
+    numbered = materialize(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+                                       F.monotonically_increasing_id().alias("row")), "near-docs")
+    placed = classes(numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), threshold).select(
+        F.col("doc_id").alias("row"), "class_id")
+    ids = numbered.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"))
+    kept = ids.join(placed, "row").groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(
+        F.col("best.row").alias("row"))
+    return numbered.join(materialize(kept, "near-kept"), "row", "left_semi").select("doc.*")
