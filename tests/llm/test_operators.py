@@ -346,6 +346,37 @@ def test_token_output(docs, none, rows):
     assert token_output.report(none.select("doc_id", "text")).count() == 0
 
 
+def test_token_files_are_encoded_indexed_and_read_in_part(spark, tmp_path):
+    import glob
+    import pyarrow.parquet as pq
+    rng = random.Random(7)
+    texts = [(i, prose(rng, rng.randint(0, 300))) for i in range(3000)]
+    path = token_output.write(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), f"{tmp_path}/t")
+    kept = None
+    for file in sorted(glob.glob(f"{path}/*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            columns = {(c := meta.row_group(g).column(k)).path_in_schema: c for k in range(meta.num_columns)}
+            ids = columns["tokens.list.element"]
+            assert "RLE_DICTIONARY" in ids.encodings or "PLAIN_DICTIONARY" in ids.encodings
+            assert any("DELTA_BINARY_PACKED" in columns[n].encodings or "RLE_DICTIONARY" in columns[n].encodings
+                       for n in ("doc_id", "part_start", "n_tokens"))
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert meta.row_group(g).total_byte_size <= 2 * token_output.ROW_GROUP_BYTES
+            kept = meta
+    assert kept is not None
+    n = {r.doc_id: r.n_tokens for r in token_output.counts(spark, path).collect()}
+    e = Encoder("word_bpe_49k.json", False)
+    want = {i: np.frombuffer(e.ids(t), "<u4").tolist() + [2] for i, t in texts}
+    assert n == {i: len(x) for i, x in want.items()}
+    some = token_output.documents(spark, path, 1200, 1260)
+    assert {r.doc_id: list(r.tokens) for r in some.collect()} == {i: want[i] for i in range(1200, 1261)}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,1200)" in plan and "LessThanOrEqual(doc_id,1260)" in plan
+    assert "tokens:array" not in token_output.counts(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing(docs, none, rows):
     pieces = packing.pack(docs.select("doc_id", "text")).collect()
     e = Encoder("byte_bpe_50k.json", True)
@@ -414,6 +445,59 @@ def test_packing_classes():
     assert by and all(sorted(v)[:3] == [(0, 600), (600, 600), (1200, 600)] for v in by.values())
 
 
+def test_lm_score_equals_plain_loops(spark):
+    """The score of each document from one position at a time: attention over its window, counts from dictionaries."""
+    L = lm_scoring
+    rng = random.Random(12)
+    texts = [(i, prose(rng, n)) for i, n in enumerate([0, 1, 3, 15, 16, 17, 40, 90, 33, 12, 60, 25])]
+    texts += [(i + 20, t) for i, t in texts[5:9]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    vocabulary, end = 50257, 50256
+    got = {r.doc_id: r.score for r in L.score(docs).collect()}
+    staged = blocks.stage(docs, "lm", 8 << 20, L.subwords("byte_bpe_50k.json", end)).withColumn("train", ~L.held_out("doc_id", 10, 0))
+    c, w = L.fit(staged, vocabulary, end)
+    w = {k: v.astype(float) for k, v in w.items()}
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in staged.select("doc_id", "ids").collect()}
+    train = {r.doc_id for r in staged.where("train").select("doc_id").collect()}
+    assert 0 < len(train) < len(ids)
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for i in train:
+        lead = ["^", "^", *ids[i]]
+        for a, b, x in zip(lead, lead[1:], lead[2:]):
+            one[b] += 1
+            two[b, x] += 1
+            three[a, b, x] += 1
+    pair = collections.Counter()
+    for (a, b, _), n in three.items():
+        pair[a, b] += n
+
+    def model(seq, t):
+        """P(id t | the ids before it in its window)."""
+        j, start = t // L.STEP, c.start
+        before = [start, *[int(c.symbol[x]) for x in seq]]  # symbol before each target
+        lo = (j - 1) * L.STEP
+        places = [(p, before[lo + p]) for p in range(t - lo + 1) if lo + p >= 0]
+        x = {p: w["emb"][s] + w["pos"][p] for p, s in places}
+        q = x[t - lo] @ w["q"]
+        a = np.array([np.exp(min(q @ (x[p] @ w["k"]) / math.sqrt(L.WIDTH), 60)) for p in x])
+        z = sum(share * (x[p] @ w["v"]) for share, p in zip(a / a.sum(), x))
+        h = z @ w["o"] + x[t - lo] @ w["r"]
+        logits = np.clip(h @ w["u"].T, -80, 80)
+        last = dict(places)
+        row = c.row[last.get(t - lo - 1, L.PAD), last[t - lo]]
+        s = int(c.symbol[seq[t]])
+        return (math.exp(c.ln_next[row, s] + logits[c.cls[s]]) / float(np.exp(logits) @ c.p_class[row]) * math.exp(c.ln_rest[seq[t]]))
+
+    for i, seq in ids.items():
+        total, lead = 0.0, ["^", "^", *seq]
+        for t, (a, b, x) in enumerate(zip(lead, lead[1:], lead[2:])):
+            p = model(seq, t)
+            k = (two[b, x] + L.DEPTH * p) / (one[b] + L.DEPTH)
+            k = (three[a, b, x] + L.DEPTH * k) / (pair[a, b] + L.DEPTH)
+            total += math.log10(L.SHARE * p + (1 - L.SHARE) * k)
+        assert math.isclose(total, got[i], rel_tol=1e-3, abs_tol=1e-3), (i, total, got[i])
+
+
 def test_lm_scoring(docs, none, rows):
     got = lm_scoring.score(docs.select("doc_id", "text")).collect()
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})

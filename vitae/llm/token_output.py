@@ -70,6 +70,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
 
 
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, n_tokens of every document; the token pages are not read."""
+    return spark.read.schema(SCHEMA).parquet(path).select("doc_id", "n_tokens")
+
+
+def documents(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """doc_id, n_tokens, tokens of the documents with ids from ``low`` to ``high``.
+
+    The files are in order of the id, so its statistics leave out whole files and
+    row groups, and the column index leaves out pages of the others.
+    """
+    return spark.read.schema(SCHEMA).parquet(path).where(F.col("doc_id").between(low, high)).select(
+        "doc_id", "n_tokens", "tokens")
+
+
 @F.arrow_udf(LongType())
 def ids_crc32(tokens: pa.Array) -> pa.Array:
     """Unsigned CRC-32 of each list's ids as little-endian unsigned 32-bit integers."""
