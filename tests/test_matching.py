@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from conftest import SMALL
 from vitae.operators import tfidf

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitae.functions import dictionaries as D
-from vitae.functions.text import clean, strip_ws, words
+from vitae.functions.text import clean, strip_ws
 from vitae.operators import features as FT
 from vitae.operators import strict, tfidf
 from vitae.operators.metrics import rank_within

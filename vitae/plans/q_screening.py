@@ -17,7 +17,7 @@ from vitae.operators import features as FT
 from vitae.operators import screening as SC
 from vitae.plans.catalog import register
 from vitae.plans.sql import WS, clean
-from vitae.plans.sql_views import VIEWS, keyword_sql, ladder_values, sql_str
+from vitae.plans.sql_views import VIEWS, keyword_sql, sql_str
 from vitae.session import materialize
 from vitae.sources import views as V
 
