@@ -39,7 +39,7 @@ def _duck(at):
     return con
 
 
-@pytest.mark.parametrize("name", ["match_features"])
+@pytest.mark.parametrize("name", ["match_features", "feature_describe"])
 def test_features_use_every_word_of_a_customer(spark, shop, name):
     got = compare(spark, _duck(shop), shop, name, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name])
     assert got["status"] in ("OK", "APPROX"), got
