@@ -46,3 +46,39 @@ def test_features_use_every_word_of_a_customer(spark, shop, name):
     assert len(V.training_rows(spark, shop, whole_skills=True).where("resume_id = 1").first()["skills"]) == 12
     if name == "match_features":
         assert got["spark_rows"] == 7  # no word stands on a fifth of the first customer's lines: six rows were lost
+
+
+def test_a_histogram_works_its_values_out_once(spark):
+    from pyspark.sql import functions as F
+    from vitae.operators import metrics as M
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(x):
+        seen.add(1)
+        return float(x)
+
+    got = M.histogram(spark.range(100).select(value("id").alias("v")), "v", 10).collect()
+    assert sorted((r["bin"], r["n"]) for r in got) == [(b, 10) for b in range(10)]
+    assert seen.value == 100  # the range and the counts each worked out all values
+
+
+def test_a_pair_stays_one_row_until_its_score(spark):
+    from vitae.operators import tfidf
+    weights = spark.createDataFrame([(1, f"t{k}", 0.1) for k in range(100)], "id long, term string, w double")
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (None, 1)], "lid long, rid long")
+    got = tfidf.rowwise_cosine(pairs, weights, weights)
+    assert sorted(((r["lid"] or 0, r["rid"], r["score"]) for r in got.collect())) == [
+        (0, 1, 0.0), (1, 1, 2.0), (1, 1, 2.0), (1, 2, 0.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "term#" not in plan.split("Aggregate", 1)[1].split("Join", 1)[0]  # no join by term behind the sums
+
+
+def test_lists_that_differ_under_one_id_are_compared_row_by_row(spark):
+    from vitae.operators import features as FT
+    rows = spark.createDataFrame(
+        [(1, 7, ["go", "sql"], ["go", "c"], [], "", 365), (1, 8, ["java"], ["java"], [], "", 365)],
+        "resume_id long, job_id long, skills array<string>, skills_required array<string>, certifications array<string>, "
+        "degree string, experience_days long")
+    got = {r["job_id"]: r["keyword_match"] for r in FT.match_features(rows).collect()}
+    assert got == {7: 0.5, 8: 1.0}
