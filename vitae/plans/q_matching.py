@@ -77,8 +77,9 @@ FROM pairs p LEFT JOIN dots d ON d.lid = p.lid AND d.rid = p.rid"""))
 def pair_cosine_rowwise(spark, sf_dir):
     """Row-wise cosine of given (resume, job) pairs; vocabulary fitted on the resume rows only,
     job terms outside it dropped (C2, M2, M4)."""
-    tr = tfidf.term_table(_docs(spark, sf_dir), "doc_id", "text", dedup=False)
-    tj = tfidf.term_table(_jobs(spark, sf_dir), "item_id", "text", dedup=False)
+    # stored: the vocabulary and the weights both read the terms
+    tr = materialize(tfidf.term_table(_docs(spark, sf_dir), "doc_id", "text", dedup=False), "terms_r")
+    tj = materialize(tfidf.term_table(_jobs(spark, sf_dir), "item_id", "text", dedup=False), "terms_j")
     vocab = tfidf.fit_idf(tr)
     sim = tfidf.rowwise_cosine(_paired(spark, sf_dir), tfidf.weights(tr, vocab), tfidf.weights(tj, vocab))
     return sim.select(F.col("lid").alias("doc_id"), F.col("rid").alias("item_id"), "score")
