@@ -82,3 +82,25 @@ def test_lists_that_differ_under_one_id_are_compared_row_by_row(spark):
         "degree string, experience_days long")
     got = {r["job_id"]: r["keyword_match"] for r in FT.match_features(rows).collect()}
     assert got == {7: 0.5, 8: 1.0}
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity"])
+def test_classifiers_learn_from_every_labelled_document(spark, name):
+    import importlib
+    model = importlib.import_module(f"vitae.llm.{name}")
+    column = "toxic" if name == "toxicity" else "quality"
+    docs = spark.createDataFrame([(i, "PLAIN!! TEXT!! " * 9 if i % 2 else "some quiet words of prose " * 9) for i in range(400)],
+                                 "doc_id long, text string").repartition(3)
+    labels = docs.selectExpr("doc_id", f"cast(doc_id % 2 as int) as {column}")
+    kind = model.fit.__defaults__
+    assert not hasattr(model, "SAMPLE_ROWS")
+    one, many = model.fit(docs, labels), model.fit(docs, labels, rows=50)
+    for m in (one, many):  # four hundred labels, shards of fifty: as before, a bound of fifty rows dropped the others
+        import pyarrow as pa
+        p = m.scorer()(pa.array(["PLAIN!! TEXT!! " * 9, "some quiet words of prose " * 9]))
+        assert p[0] > 0.5 > p[1]
+    from vitae.llm.samples import labelled_documents
+    got = labelled_documents(docs, labels, column, *kind[1:3], 50).collect()
+    from zlib import crc32
+    assert sorted(r["doc_id"] for r in got) == [i for i in range(400) if crc32(str(i).encode()) % kind[1] != kind[2]]
+    assert len({r["shard"] for r in got}) > 3

@@ -4,8 +4,13 @@ A document's strength is linear in a fixed set of text statistics (share of
 capitals, digits and signs, word lengths, repetition, word shapes). A labelled
 good document is preferred to a labelled bad one; the weights minimise the
 logistic loss of the strength difference over such pairs. The cut between the
-classes is the quantile of the training strengths that leaves the sample's
-share of bad documents below it; a score of 0.5 is that cut.
+classes is the quantile of the training strengths that leaves the share of bad
+documents below it; a score of 0.5 is that cut.
+
+Every labelled document is learned from. Their statistics are a stored table;
+mean and spread are sums over it, the weights the mean of those that shards of
+bounded size learn side by side, cut and medians exact order statistics of all
+strengths. Only sums, one weight vector a shard and the quantiles reach the driver.
 
 Defined cases: a null or empty text has zero statistics and gets their score;
 texts of any length are read whole; repeated rows each get their score; where
@@ -21,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitae.llm.samples import held_out, labelled_sample
+from vitae.llm.samples import held_out, labelled_documents
 from vitae.llm.toxicity import score_column
 from vitae.llm.words import Texts, WordHash, mix, slices, texts_of
+from vitae.operators.metrics import quantiles_by
+from vitae.session import materialize
 
-#: Labelled documents learned from, at most; pairs drawn among them.
-SAMPLE_ROWS = 8000
+#: Labelled documents of a shard, about; pairs drawn among them.
+SHARD_ROWS = 8000
 PAIRS = 200_000
 SHAPES = 256
 #: Statistics beside the word shapes.
@@ -101,7 +108,7 @@ class PairModel:
     spread: float
 
     def strength(self, stats: np.ndarray) -> np.ndarray:
-        return np.clip((stats - self.mean) / self.scale, -8, 8) @ self.weights
+        return standardise(stats, self.mean, self.scale) @ self.weights
 
     def scorer(self):
         def score(column: pa.Array) -> np.ndarray:
@@ -110,12 +117,14 @@ class PairModel:
         return score
 
 
-def train(stats: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 1500, batch: int = 512,
-          rate: float = 0.02, decay: float = 1e-3) -> PairModel:
-    """Fit strengths by Adam on pairs (good, bad) drawn from the labelled rows."""
-    width = stats.shape[1]
-    mean, scale = (stats.mean(0), stats.std(0) + 1e-3) if len(stats) else (np.zeros(width), np.ones(width))
-    x = np.clip((stats - mean) / scale, -8, 8)
+def standardise(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((stats - mean) / scale, -8, 8)
+
+
+def pair_weights(x: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 1500, batch: int = 512,
+                 rate: float = 0.02, decay: float = 1e-3) -> np.ndarray:
+    """Weights by Adam on pairs (good, bad) drawn from labelled rows; zeros where there is no pair."""
+    width = x.shape[1]
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     w = np.zeros(width)
     if len(good) and len(bad):
@@ -128,26 +137,92 @@ def train(stats: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 15
             g = -(d / (1.0 + np.exp(np.clip(d @ w, -35, 35)))[:, None]).mean(0) + decay * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    s = x @ w
+    return w
+
+
+def pair_model(mean, scale, w, n_good: int, n_bad: int, quantiles) -> PairModel:
+    """The model of the weights; ``quantiles()`` gives the cut and the medians of good and bad strengths."""
     if not w.any():  # no pair: every text is as likely as what there was to learn from
-        return PairModel(mean, scale, w, float(len(bad) > 0) - float(len(good) > 0), 1.0)
-    cut = float(np.quantile(s, len(bad) / (len(good) + len(bad))))
-    gap = abs(float(np.median(s[good]) - np.median(s[bad])))
-    return PairModel(mean, scale, w, cut, max(gap / 8, 1e-6))
+        return PairModel(mean, scale, w, float(n_bad > 0) - float(n_good > 0), 1.0)
+    cut, good, bad = quantiles()
+    return PairModel(mean, scale, w, float(cut), max(abs(float(good - bad)) / 8, 1e-6))
+
+
+def train(stats: np.ndarray, labels: np.ndarray, **how) -> PairModel:
+    """Fit strengths to labelled rows that are at hand."""
+    width = stats.shape[1]
+    mean, scale = (stats.mean(0), stats.std(0) + 1e-3) if len(stats) else (np.zeros(width), np.ones(width))
+    x = standardise(stats, mean, scale)
+    w = pair_weights(x, labels, **how)
+    s, n_bad = x @ w, int((labels == 0).sum())
+    return pair_model(mean, scale, w, int((labels == 1).sum()), n_bad, lambda: (
+        np.quantile(s, n_bad / len(labels)), np.median(s[labels == 1]), np.median(s[labels == 0])))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(b) for b in column.to_pylist()]).reshape(-1, DENSE + SHAPES)
+
+
+def _moments(table: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(good, bad, mean, standard deviation) of the statistics, from one row of sums a task."""
+    def sums(batches):
+        n = good = 0
+        mean, m2 = np.zeros(DENSE + SHAPES), np.zeros(DENSE + SHAPES)
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column("stats"))
+                gap = x.mean(0) - mean
+                m2 += ((x - x.mean(0)) ** 2).sum(0) + gap * gap * (n * len(x) / (n + len(x)))
+                mean += gap * (len(x) / (n + len(x)))
+                n, good = n + len(x), good + int(np.sum(b.column("label").to_numpy() == 1))
+        yield pa.RecordBatch.from_pydict({"n": [n], "good": [good], "mean": [mean.tobytes()], "m2": [m2.tobytes()]})
+
+    got = [r for r in table.mapInArrow(sums, "n long, good long, mean binary, m2 binary").collect() if r["n"]]
+    n = sum(r["n"] for r in got)
+    if not n:
+        return 0, 0, np.zeros(DENSE + SHAPES), np.ones(DENSE + SHAPES)
+    means = np.array([np.frombuffer(r["mean"]) for r in got])
+    share = np.array([r["n"] / n for r in got])[:, None]
+    mean = (share * means).sum(0)
+    spread = sum(np.frombuffer(r["m2"]) for r in got) / n + (share * (means - mean) ** 2).sum(0)
+    good = sum(r["good"] for r in got)
+    return good, n - good, mean, np.sqrt(spread)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, rest: int = 1,
-        rows: int = SAMPLE_ROWS) -> PairModel:
-    """Learn from at most ``rows`` labelled documents; their statistics are computed where the texts are."""
+        rows: int = SHARD_ROWS) -> PairModel:
+    """Learn from every labelled document; a shard of about ``rows`` of them is one task's work."""
     @F.arrow_udf("binary")
     def stats(column: pa.Array) -> pa.Array:
         return pa.array([r.tobytes() for r in _all_statistics(column)], pa.binary())
 
-    got = (labelled_sample(docs, labels, label, mod, rest, rows)
-           .select("doc_id", "label", stats("text").alias("stats")).orderBy("doc_id").collect())
-    if not got:
-        return train(np.zeros((0, DENSE + SHAPES)), np.zeros(0))
-    return train(np.array([np.frombuffer(r["stats"]) for r in got]), np.array([r["label"] for r in got]))
+    table = materialize(labelled_documents(docs, labels, label, mod, rest, rows)
+                        .select("doc_id", "label", "shard", stats("text").alias("stats")), "quality-statistics")
+    good, bad, mean, std = _moments(table)
+    scale = std + 1e-3 if good + bad else std
+
+    def learn(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("doc_id")
+        y = shard["label"].to_numpy()
+        w = pair_weights(standardise(_matrix(shard["stats"]), mean, scale), y)
+        return pa.table({"n": [len(y) if w.any() else 0], "weights": [w.tobytes()]})
+
+    learned = table.groupBy("shard").applyInArrow(learn, "n long, weights binary").where("n > 0").collect()
+    total = sum(r["n"] for r in learned)
+    w = sum((np.frombuffer(r["weights"]) * (r["n"] / total) for r in learned), np.zeros(DENSE + SHAPES))
+
+    def strengths(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"label": b.column("label").cast(pa.string()), "s": pa.array(
+                standardise(_matrix(b.column("stats")), mean, scale) @ w, pa.float64())})
+
+    def quantiles():
+        s = materialize(table.mapInArrow(strengths, "label string, s double"), "quality-strengths")
+        cut = quantiles_by(s.select(F.lit("all").alias("label"), "s"), "label", "s", ["all"], [bad / (good + bad)], ["q"]).first()["q"]
+        middle = {r["label"]: r["q"] for r in quantiles_by(s, "label", "s", ["0", "1"], [0.5], ["q"]).collect()}
+        return cut, middle["1"], middle["0"]
+
+    return pair_model(mean, scale, w, good, bad, quantiles)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

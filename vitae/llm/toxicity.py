@@ -4,7 +4,9 @@ Features of a text are its lower-cased words, pairs of neighbours, and pairs
 one and two words apart, hashed into ``2**BITS`` coordinates with their counts.
 Training (McMahan et al., "Ad Click Prediction", 2013) keeps a per-coordinate
 learning rate and an L1 penalty, so few coordinates end up with a weight; only
-those are shipped to the executors.
+those are shipped to the executors. Every labelled document is learned from: shards
+of bounded size learn side by side and their weights are averaged (Zinkevich et al.,
+"Parallelized Stochastic Gradient Descent", 2010).
 
 Defined cases: a null or empty text has no feature and gets the bias's score;
 texts of any length are read whole; repeated rows each get their score; an
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitae.llm.samples import held_out, labelled_sample
+from vitae.llm.samples import held_out, labelled_documents
 from vitae.llm.words import Texts, WordHash, mix, slices, texts_of
 
 BITS = 22
-#: Labelled documents learned from, at most.
-SAMPLE_ROWS = 12000
+#: Labelled documents of a shard, about.
+SHARD_ROWS = 12000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.7, 1.0, 5.0, 0.05
 _HASH = WordHash(seed=101, lower=True)
@@ -110,25 +112,24 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> FtrlModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, rest: int = 0,
-        rows: int = SAMPLE_ROWS) -> FtrlModel:
-    """Learn from at most ``rows`` labelled documents, in one task; only its weights reach the driver."""
-    def learn(batches):
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got).sort_by("doc_id").combine_chunks()
-            text, y = t["text"].combine_chunks(), t["label"].to_numpy().astype(float)
-        else:
-            text, y = pa.array([], pa.string()), np.zeros(0)
-        m = train(text, y)
-        yield pa.RecordBatch.from_pydict({"bias": pa.array([m.bias]), "coords": pa.array([m.coords.tobytes()]),
-                                          "weights": pa.array([m.weights.tobytes()])})
-
-    sample = labelled_sample(docs, labels, label, mod, rest, rows).repartition(1)
-    got = sample.mapInArrow(learn, "bias double, coords binary, weights binary").collect()
-    if not got:
-        return FtrlModel(-1.1, np.zeros(0, np.int32), np.zeros(0, np.float32))
-    r = got[0]
-    return FtrlModel(r["bias"], np.frombuffer(r["coords"], np.int32), np.frombuffer(r["weights"], np.float32))
+        rows: int = SHARD_ROWS) -> FtrlModel:
+    """Learn from every labelled document, a shard of about ``rows`` a task; the mean weights reach the driver."""
+    def learn(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("doc_id").combine_chunks()
+        m = train(shard["text"].combine_chunks(), shard["label"].to_numpy().astype(float))
+        # the bias stands at coordinate -1
+        return pa.table({"coord": np.r_[-1, m.coords].astype(np.int32), "weight": np.r_[m.bias, m.weights].astype(np.float64),
+                         "n": np.full(len(m.coords) + 1, len(shard), np.int64)})
+
+    learned = labelled_documents(docs, labels, label, mod, rest, rows).groupBy("shard").applyInArrow(
+        learn, "coord int, weight double, n long")
+    # at most 2 ** BITS coordinates, however many shards
+    got = learned.groupBy("coord").agg(F.sum(F.col("weight") * F.col("n")).alias("sum"), F.sum("n").alias("n")).orderBy("coord").toArrow()
+    if not got.num_rows:
+        return FtrlModel(float(np.log(0.5 / 1.5)), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    total = got["n"][0].as_py()  # each shard has a bias
+    mean = got["sum"].to_numpy() / total
+    return FtrlModel(float(mean[0]), got["coord"].to_numpy()[1:].astype(np.int32), mean[1:].astype(np.float32))
 
 
 def score_column(spark, model, text: str = "text"):
