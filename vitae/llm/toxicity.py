@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
         shard = shard.sort_by("doc_id").combine_chunks()
         m = train(shard["text"].combine_chunks(), shard["label"].to_numpy().astype(float))
         # the bias stands at coordinate -1
-        return pa.table({"coord": np.r_[-1, m.coords].astype(np.int32), "weight": np.r_[m.bias, m.weights].astype(np.float64),
+        return pa.table({"coord": np.r_[-1, m.coords].astype(np.int32), "weight": np.r_[np.float64(m.bias), m.weights.astype(np.float64)],
                          "n": np.full(len(m.coords) + 1, len(shard), np.int64)})
 
     learned = labelled_documents(docs, labels, label, mod, rest, rows).groupBy("shard").applyInArrow(
