@@ -118,5 +118,5 @@ def test_run_against_brute_force(spark, tmp_path, monkeypatch):
 
 def test_every_query_is_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= names

@@ -104,3 +104,18 @@ def test_classifiers_learn_from_every_labelled_document(spark, name):
     from zlib import crc32
     assert sorted(r["doc_id"] for r in got) == [i for i in range(400) if crc32(str(i).encode()) % kind[1] != kind[2]]
     assert len({r["shard"] for r in got}) > 3
+
+
+def test_scores_are_worked_out_once_for_all_their_readers(spark):
+    from conftest import SMALL
+    from vitae.plans.q_metrics import scored
+    files = scored(spark, SMALL).inputFiles()
+    assert files and all("/tables/scored-" in f for f in files)
+
+
+def test_strings_of_runs_begin_where_entries_can(spark):
+    from vitae.operators import extract as X
+    docs = spark.createDataFrame([(1, "We use C, .NET and big data; a.net too"), (2, ""), (3, None), (4, "go")], "doc_id long, text string")
+    vocab = spark.createDataFrame([("big data",), (".net",), ("go",), ("c",), ("data; a",), ("net",), (" and ",), ("!",)], "skill string")
+    got = {r["doc_id"]: r["skills"] for r in X.detect_skills(docs, vocab).collect()}
+    assert got == {1: [" and ", ".net", "big data", "c", "data; a", "net"], 2: [], 3: [], 4: ["go"]}
