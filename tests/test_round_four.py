@@ -63,3 +63,13 @@ def test_weights_of_wanted_terms_keep_the_length_over_all(spark):
     rows = sorted(got.collect(), key=key)
     assert [(r.id, r.term) for r in rows] == [(r.id, r.term) for r in want]
     assert all(math.isclose(a.w, b.w, abs_tol=1e-12) for a, b in zip(rows, want))
+
+
+def test_term_table_counts_one_copy_and_shuffles_texts_not_terms(spark):
+    rows = [(2, "bb aa aa"), (1, "bb aa aa"), (None, "bb aa aa"), (None, "cc x cc"), (3, None), (5, ""), (4, "x y"), (6, "!?")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    table = tfidf.term_table(docs, "id", "t")
+    got = sorted(map(tuple, table.collect()), key=str)
+    # a text of one-letter words is a text of its own; those that clean to nothing are one
+    assert got == sorted([(1, "aa", 2), (1, "bb", 1), (None, "cc", 2), (3, None, 0), (5, None, 0), (4, None, 0)], key=str)
+    assert set(_shuffles(table)) == {"_digest"}
