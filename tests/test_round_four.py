@@ -51,6 +51,16 @@ def test_left_out_parts_are_met_the_cheaper_way(spark):
     assert many == {(r.lid, r.rid, r.score) for r in impact.best_scores(wr, wj, 6).collect()}
 
 
+def test_term_table_counts_one_copy_and_shuffles_texts_not_terms(spark):
+    rows = [(2, "bb aa aa"), (1, "bb aa aa"), (None, "bb aa aa"), (None, "cc x cc"), (3, None), (5, ""), (4, "x y"), (6, "!?")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    table = tfidf.term_table(docs, "id", "t")
+    got = sorted(map(tuple, table.collect()), key=str)
+    # a text of one-letter words is a text of its own; those that clean to nothing are one
+    assert got == sorted([(1, "aa", 2), (1, "bb", 1), (None, "cc", 2), (3, None, 0), (5, None, 0), (4, None, 0)], key=str)
+    assert set(_shuffles(table)) == {"_digest"}
+
+
 def test_weights_of_wanted_terms_keep_the_length_over_all(spark):
     tt = spark.createDataFrame([(1, "aa", 2), (1, "bb", 1), (None, "aa", 1), (None, "cc", 4), (2, "cc", 1), (2, "aa", 3),
                                 (2, "aa", 3), (3, None, 0)], "id long, term string, cnt long")
@@ -65,11 +75,13 @@ def test_weights_of_wanted_terms_keep_the_length_over_all(spark):
     assert all(math.isclose(a.w, b.w, abs_tol=1e-12) for a, b in zip(rows, want))
 
 
-def test_term_table_counts_one_copy_and_shuffles_texts_not_terms(spark):
-    rows = [(2, "bb aa aa"), (1, "bb aa aa"), (None, "bb aa aa"), (None, "cc x cc"), (3, None), (5, ""), (4, "x y"), (6, "!?")]
-    docs = spark.createDataFrame(rows, "id long, t string")
-    table = tfidf.term_table(docs, "id", "t")
-    got = sorted(map(tuple, table.collect()), key=str)
-    # a text of one-letter words is a text of its own; those that clean to nothing are one
-    assert got == sorted([(1, "aa", 2), (1, "bb", 1), (None, "cc", 2), (3, None, 0), (5, None, 0), (4, None, 0)], key=str)
-    assert set(_shuffles(table)) == {"_digest"}
+def test_stored_rows_give_match_and_representatives(spark):
+    rows = [(i, t) for i, t in corpus(5, 40)] + [(100, corpus(5, 40)[3][1]), (101, None), (102, None), (103, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    jobs = spark.createDataFrame(corpus(6, 15), "item_id long, text string")
+    stored = materialize(tfidf.text_rows(docs, "doc_id", "text"), "rows")
+    assert {tuple(r) for r in tfidf.best_match(docs, jobs, rows_r=stored).collect()} == {
+        tuple(r) for r in tfidf.best_match(docs, jobs).collect()}
+    reps = {tuple(r) for r in tfidf.representatives_of(stored).collect()}
+    assert reps == {tuple(r) for r in tfidf.representatives(docs, "doc_id", "text").collect()}
+    assert (100, 3) in reps and (102, 101) in reps and (103, 103) in reps and len(reps) == len(rows)
