@@ -15,9 +15,10 @@ similarity, computed from the texts, is at least the threshold.
 
 Nodes of one bucket that are then still in different classes get MORE further
 samples, and all their pairs are met in blocks of PART by PART nodes, each
-block in a call of its own. Only pairs of which ALL_AGREE of all samples agree
-leave a block (five standard deviations below what a pair exactly at the
-threshold has: missed with a chance of 0.0001 %, by all 16 bands with 0.02 %), each from the first band it shares, and are compared by their texts.
+block in a call of its own. There, too, only pairs of which ALL_AGREE of all samples agree are
+compared by their texts (five standard deviations below what a pair exactly at the
+threshold has: missed with a chance of 0.0001 %, by all 16 bands with 0.02 %), each in the first band it shares,
+and not those whose classes links of the block have already joined. Only links leave a block, less than its nodes.
 
 Defined cases: a null or empty text has no shingles and is a class of its own;
 equal texts share a class; texts of any length are read whole; repeated rows
@@ -50,8 +51,8 @@ AGREE = 43
 HEADS = 8
 #: Further samples of the nodes that the heads left open, and how many of all samples must agree there.
 MORE, ALL_AGREE = 256, 220
-#: Nodes on one side of a block of pairs.
-PART = 256
+#: Nodes on one side of a block of pairs, and bytes of their texts.
+PART, PART_BYTES = 512, 16 << 20
 CELL_BITS = 20
 IDF_SHARE = 0.25
 _HASH = WordHash(seed=606)
@@ -100,13 +101,15 @@ def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 h = (h * int(mult) + w) & (2**64 - 1)
             acc[t.first[i]] = h
     use = (at <= size - SHINGLE) | (whole & (at == 0))
-    h, doc = mix(acc[use]), np.repeat(np.arange(len(n)), n)[use]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+    h = mix(acc[use])
+    first = np.r_[0, np.cumsum(np.where(n < SHINGLE, np.minimum(n, 1), n - SHINGLE + 1))]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        h[a:b].sort()
+    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    new[first[:-1][np.diff(first) > 0]] = True
     keep = np.flatnonzero(new)
     count = np.diff(np.r_[keep, len(h)])
-    return np.searchsorted(doc[keep], np.arange(len(n) + 1)), h[keep], count
+    return np.searchsorted(keep, first), h[keep], count
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -128,21 +131,35 @@ def samples(first: np.ndarray, h: np.ndarray, ln_weight: np.ndarray,
         docs = filled[i:j]
         hi = first[docs[-1] + 1]
         x, lw, starts = h[lo:hi], ln_weight[lo:hi], first[docs] - lo
+        n = len(x)
+        u, v, key = (np.empty(n, _U) for _ in range(3))
+        low, marks = (y.view(np.uint32)[::2] for y in (u, v))
+        r, t, beta, z = (np.empty(n, np.float32) for _ in range(4))
+        bits = z.view(np.uint32)
         for k, seed in enumerate(seeds):
-            u = (x ^ seed) * _U(0xD6E8FEB86659FD93)
-            u ^= u >> _U(32)
+            np.bitwise_xor(x, seed, out=u)
+            u *= _U(0xD6E8FEB86659FD93)
+            u ^= np.right_shift(u, _U(32), out=v)
             u *= seed
-            u ^= u >> _U(29)
-            low = u.astype(np.uint32)
-            ri = (low & np.uint32(0xFFF)).astype(np.int32)
-            r = d.r[ri]
-            beta = (low >> np.uint32(12)).astype(np.float32) * np.float32(2.0**-20)
-            t = np.floor(lw * d.inv_r[ri] + beta)
-            z = d.ln_c[(u >> _U(48)).astype(np.int32)] - r * (t - beta + np.float32(1))
-            bits = z.view(np.uint32)
-            bits = bits ^ ((bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(0x80000000))
-            mark = (u >> _U(20)).astype(np.uint32) ^ (t.astype(np.int32).view(np.uint32) * np.uint32(2654435761))
-            key = (bits.astype(_U) << _U(32)) | mark
+            u ^= np.right_shift(u, _U(29), out=v)
+            np.right_shift(low, np.uint32(12), out=bits)
+            np.multiply(bits, np.float32(2.0**-20), out=beta, dtype=np.float32, casting="unsafe")
+            ri = np.bitwise_and(u, _U(0xFFF), out=v).view(np.int64)
+            np.take(d.inv_r, ri, out=t, mode="clip")
+            np.take(d.r, ri, out=r, mode="clip")
+            t *= lw
+            t += beta
+            np.floor(t, out=t)
+            np.subtract(t, beta, out=beta)
+            beta += np.float32(1)
+            r *= beta
+            np.take(d.ln_c, np.right_shift(u, _U(48), out=v).view(np.int64), out=z, mode="clip")
+            z -= r
+            bits ^= (bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(0x80000000)
+            np.copyto(key, bits)
+            key <<= _U(32)
+            np.right_shift(u, _U(20), out=v)
+            key |= marks ^ (t.astype(np.int32).view(np.uint32) * np.uint32(2654435761))
             out[docs, k] = np.minimum.reduceat(key, starts).astype(np.uint32)
         i = j
     return out
@@ -163,8 +180,10 @@ def cell_weights(staged: DataFrame) -> np.ndarray:
             for part in slices(batch, "text"):
                 first, h, _ = shingles(texts_of(part.column(0)))
                 docs += part.num_rows
-                pair = np.unique(np.repeat(np.arange(part.num_rows), np.diff(first)) * size + _cells(h))
-                df += np.bincount(pair % size, minlength=size)
+                cell = _cells(h)  # ascending in each document
+                new = np.r_[True, cell[1:] != cell[:-1]] if len(cell) else np.zeros(0, bool)
+                new[first[:-1][np.diff(first) > 0]] = True
+                df += np.bincount(cell[new], minlength=size)
         yield blocks.chunks(np.r_[df, docs])
 
     got = blocks.summed(staged.select("text").mapInArrow(released(count), blocks.SUMS), np.int64, size + 1)
@@ -224,17 +243,13 @@ def _verified(staged: DataFrame, pairs: DataFrame, weights, threshold: float) ->
         for batch in batches:
             ok = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                (ha, wa), (hb, wb) = vector(a, ta), vector(b, tb)
-                _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                common = np.minimum(wa[i], wb[j]).sum()
-                ok.append(common >= threshold * (wa.sum() + wb.sum() - common) - 1e-9)
+                ok.append(_similar(*vector(a, ta), *vector(b, tb), threshold))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return materialize(both.mapInArrow(released(compare), "a long, b long"), "near-links")
 
 
-def _linked(staged: DataFrame, pairs: DataFrame, weights, threshold: float,
-            links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _linked(staged: DataFrame, pairs: DataFrame, weights, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(links, classes of their nodes) with ``pairs`` verified, those that could change no class left out.
 
     First each node's pair with the smallest other node is compared, then what
@@ -242,8 +257,7 @@ def _linked(staged: DataFrame, pairs: DataFrame, weights, threshold: float,
     """
     first = materialize(pairs.groupBy("b").agg(F.min(F.struct("a", "block_a", "block_b")).alias("x"))
                         .select("x.a", "b", "x.block_a", "x.block_b"), "near-first")
-    found = _verified(staged, first, weights, threshold)
-    links = found if links is None else links.unionByName(found)
+    links = _verified(staged, first, weights, threshold)
     comp = materialize(components(links), "near-components")
     of = [comp.select(F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab"]
     rest = (pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
@@ -256,19 +270,18 @@ def _linked(staged: DataFrame, pairs: DataFrame, weights, threshold: float,
 
 
 def _further(staged: DataFrame, wanted: DataFrame, weights) -> DataFrame:
-    """(node, more): the further samples of the rows of ``wanted`` (row, block)."""
+    """(node, more, text): the further samples of the rows of ``wanted`` (row, block), and their texts."""
     def sign(docs: pa.Table, keys: pa.Table) -> pa.Table:
         table = weights.value
         docs = docs.filter(pc.is_in(docs["row"], keys["row"])).select(["row", "text"]).combine_chunks()
-        rows, out = [np.zeros(0, np.int64)], [np.zeros((0, MORE), np.uint32)]
+        out = [np.zeros((0, MORE), np.uint32)]
         for batch in docs.to_batches():
             for part in slices(batch, "text"):
                 first, h, n = shingles(texts_of(part.column(1)))
-                rows.append(part.column(0).to_numpy())
                 out.append(samples(first, h, np.log(n).astype(np.float32) + table[_cells(h)], _SEEDS[HASHES:]))
-        return pa.table({"node": pa.array(np.concatenate(rows)), "more": _lists(np.concatenate(out))})
+        return pa.table({"node": docs["row"], "more": _lists(np.concatenate(out)), "text": docs["text"]})
 
-    return blocks.with_keys(staged, wanted, sign, "node long, more array<int>")
+    return blocks.with_keys(staged, wanted, sign, "node long, more array<int>, text string")
 
 
 def _meet(rows: pa.Table) -> pa.Table:
@@ -293,6 +306,50 @@ def _meet(rows: pa.Table) -> pa.Table:
     return pa.table({"a": node[low], "b": node[high], "block_a": block[low], "block_b": block[high]})
 
 
+def _joining(weights, threshold: float):
+    """Function from a block's two parts to the links that join classes of their nodes.
+
+    The pairs of ``_meet`` are compared by their texts, but for those that links
+    found before in the block have joined: a block gives less links than it has nodes.
+    """
+    def join(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        pairs = _meet(rows)
+        node = rows["node"].to_numpy()
+        at = np.argsort(node)
+        x, y = (at[np.searchsorted(node[at], pairs[c].to_numpy())].tolist() for c in "ab")
+        comp, table = rows["comp"].to_pylist(), weights.value
+        vectors: dict[int, tuple] = {}
+        up: dict[int, int] = {}
+        found = []
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        def vector(k: int) -> tuple:
+            if k not in vectors:
+                _, h, n = shingles(texts_of(rows["text"].chunk(0).slice(k, 1)))
+                vectors[k] = h, n * np.exp(table[_cells(h)])
+            return vectors[k]
+
+        for k, (i, j) in enumerate(zip(x, y)):
+            c, d = root(comp[i]), root(comp[j])
+            if c != d and _similar(*vector(i), *vector(j), threshold):
+                up[max(c, d)] = min(c, d)
+                found.append(k)
+        return pairs.select(["a", "b"]).take(pa.array(found, pa.int64()))
+    return join
+
+
+def _similar(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray, threshold: float) -> bool:
+    """Whether the weighted Jaccard similarity of two texts' shingles reaches the threshold."""
+    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    common = np.minimum(wa[i], wb[j]).sum()
+    return common >= threshold * (wa.sum() + wb.sum() - common) - 1e-9
+
+
 def _agreeing(one: str, other: str):
     """How many of two nodes' samples agree."""
     return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda x: x))
@@ -312,9 +369,11 @@ def _classes(staged: DataFrame, spark, threshold: float) -> DataFrame:
                                 F.col("x.sig").alias("sig")), "near-nodes")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                                     lambda k: F.xxhash64(F.slice("sig", k * ROWS + 1, ROWS), k)))
-    banded = nodes.select("node", "block", "sig", band.alias("band", "bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    banded = materialize(banded.join(sizes.select("bucket"), "bucket", "left_semi"), "near-banded")
+    narrow = nodes.select("node", band.alias("band", "bucket"))
+    sizes = narrow.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    narrow = narrow.join(sizes.select("bucket"), "bucket", "left_semi")
+    # samples follow only to the buckets that two nodes share
+    banded = materialize(narrow.join(nodes.select("node", "block", "sig"), "node"), "near-banded")
     heads = materialize(banded.groupBy("bucket").agg(F.array(*[
         F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), F.col("node"), F.col("block"), F.col("sig")))
         for k in range(HEADS)]).alias("heads")), "near-heads")
@@ -329,21 +388,24 @@ def _classes(staged: DataFrame, spark, threshold: float) -> DataFrame:
     links, comp = _linked(staged, pairs, weights, threshold)
 
     placed = banded.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
-                                         F.count(F.lit(1)).alias("n")).where("c1 != c2")
-    mixed = materialize(mixed.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "near-mixed")
+    mixed = materialize(placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+                        .where("c1 != c2").select("bucket"), "near-mixed")
     open_ = materialize(placed.join(mixed, "bucket"), "near-open")
     further = materialize(_further(staged, open_.select(F.col("node").alias("row"), "block").distinct(), weights),
                           "near-further")
-    spread = (open_.join(further, "node").withColumn("sig", F.concat("sig", "more"))
+    # a part is bounded in nodes and in bytes of text
+    parts = open_.select("node", "bucket").join(further.select("node", F.octet_length("text").alias("size")), "node").groupBy(
+        "bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum("size") / PART_BYTES)).cast("int").alias("parts"))
+    spread = (open_.join(further, "node").join(materialize(parts, "near-parts"), "bucket")
+              .withColumn("sig", F.concat("sig", "more"))
               .withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"),
-                      "side", "band", "node", "block", "comp", "sig"))
-    more = spread.groupBy("bucket", "p", "q").applyInArrow(_meet, "a long, b long, block_a long, block_b long")
-    more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
+                      "side", "band", "node", "block", "comp", "sig", "text"))
+    more = materialize(spread.groupBy("bucket", "p", "q").applyInArrow(_joining(weights, threshold), "a long, b long"),
+                       "near-more")
     if not more.isEmpty():
-        links, comp = _linked(staged, more, weights, threshold, links)
+        comp = materialize(components(links.unionByName(more)), "near-components")
 
     of_key = nodes.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     of_key = materialize(of_key, "near-keys")
