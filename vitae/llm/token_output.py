@@ -66,7 +66,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
               .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    return files.join(starts, "part").select(
+    return files.join(F.broadcast(starts), "part").select(
         "doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
 
 
