@@ -1,6 +1,7 @@
 """Links leave a block of near copies, not its pairs; pieces share the library's calls; ranges are broadcast."""
 
 import random
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vitae.llm import near_dedup, token_output
+from vitae.llm import lm_scoring, near_dedup, token_output, tokenizing
 from vitae.llm.tokenizing import Encoder
 
 ODD = ["a", "B", "é", "é", "\n", "\n\n", " ", "  ", "\t", "\r", "\x1c", " ", "　", ",", "%%", "12", "'s", "'",
@@ -83,3 +84,25 @@ def test_token_lists_are_not_shuffled_for_their_starts(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_grams_are_counted_without_a_place_for_each():
+    """A place in the distinct keys and a weight for each key of an id took 25 MB here."""
+    rng = np.random.default_rng(4)
+    ids = [rng.integers(0, 300, 100).astype("<u2") for _ in range(2000)]
+    grams, train = lm_scoring.Grams(ids, 50257), rng.random(2000) < 0.9
+    tracemalloc.start()
+    one, n = grams.counted(train)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    key = np.concatenate([grams.pair, grams.triple, grams.context[grams.led]])
+    doc = np.concatenate([grams.doc, grams.doc, grams.doc[grams.led]])
+    want, back = np.unique(key, return_inverse=True)
+    assert (one == want).all() and (n == np.bincount(back, train[doc], minlength=len(want))).all()
+    assert most < 15e6, most
+
+
+def test_workers_give_up_their_encoder_after_the_encoding():
+    tokenizing.encoder("byte_bpe_50k.json", True)
+    assert list(lm_scoring.lean(lambda batches: iter(batches))([1])) == [1]
+    assert not tokenizing._ENCODERS
