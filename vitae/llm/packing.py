@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitae.llm.tokenizing import encoded
+from vitae.llm.tokenizing import cut, encoded
 
 CAPACITY = 2048
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
@@ -129,8 +129,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", spaced: bool = T
 
     def fill(batches):
         packer = Packer(TaskContext.get().partitionId())
-        for rows, ids in encoded(batches, tokenizer, spaced, end):
-            for doc, b in zip(rows.column(0).to_pylist(), ids):
+        for rows, offsets, ids in encoded(batches, tokenizer, spaced, end):
+            for doc, b in zip(rows.column(0).to_pylist(), cut(offsets, ids)):
                 packer.add(doc, b)
             yield batch_of(packer.taken())
         packer.finish()

@@ -36,13 +36,11 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", spac
     """Encode every text and write the token files under ``path``."""
     def encode(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for rows, ids in encoded(batches, tokenizer, spaced, end):
-            n = np.array([len(b) // 4 for b in ids], np.int64)
-            offsets = np.r_[0, np.cumsum(n)]
+        for rows, offsets, ids in encoded(batches, tokenizer, spaced, end):
+            n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([
                 rows.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n),
-                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
-                                         pa.array(np.frombuffer(b"".join(ids), "<i4")))],
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))],
                 ["doc_id", "part", "part_start", "n_tokens", "tokens"])
             at += int(offsets[-1])
 
