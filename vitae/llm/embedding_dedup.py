@@ -11,9 +11,12 @@ Only pairs whose bound reaches the threshold are recomputed, in double precision
 from the stored vectors. The bound is proven, so no pair is lost.
 
 Every vector is compared with every vector of its length. The vectors lie in
-blocks of about ``PART``, one row each, and every pair of blocks is compared in
-one call, so work grows with the square of the number of vectors and no
-table of pairs is made: N vectors give (N / PART)^2 / 2 rows of two blocks.
+blocks of about ``BLOCK`` bytes, one row each, stored once, and every pair of blocks
+is compared in one call: work grows with the square of the number of
+vectors, what is written with their number. The pairs of blocks are a cartesian
+product of the stored table with itself, whose tasks read both sides from it; no
+table of pairs is made and no block is shuffled. A task keeps a part of the blocks
+in memory, of at most as many bytes as one task reads of a file.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; equal vectors link with each other and are
@@ -27,6 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +38,10 @@ from vitae.llm.components import components
 from vitae.session import materialize
 
 THRESHOLD = 0.9
-#: Vectors in one block, on average at most.
-PART = 2048
+#: Bytes of the vectors of one block at most; few vectors are dealt to about BLOCKS blocks, of PART vectors at least.
+BLOCK, BLOCKS, PART = 4 << 20, 16, 2048
+#: Rows and columns compared at once, and the linked pairs after which they are folded into components.
+TILE, FOLD = (512, 2048), 1 << 19
 #: More than what single precision can be wrong by in a bound.
 ROUNDING = 1e-4
 _EDGES = "node long, links long, root long"
@@ -46,11 +52,6 @@ def _rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    lists = column.flatten().to_numpy(zero_copy_only=False)
-    return lists.reshape(len(column), -1)
-
-
 def _units(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -62,21 +63,66 @@ def encode(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, (code * rotated).sum(1)
 
 
+def least_cosines(f: np.ndarray, threshold: float) -> np.ndarray:
+    """For codes at cosine ``f`` with their vectors: where the bound of a pair reaches the threshold, from which cosine on."""
+    # The bound reaches the threshold exactly where the angle with the code is at most the sum of both angles.
+    most = np.arccos(np.minimum(f, 1)) + math.acos(min(threshold, 1))
+    return (np.where(most < math.pi, np.cos(most), -2.0) - ROUNDING).astype(np.float32)
+
+
+def _reached(code: np.ndarray, least: np.ndarray, rotated_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = code @ rotated_b.T
+    return np.divmod(np.flatnonzero(s >= least[:, None]), s.shape[1])
+
+
 def candidates(rotated_a: np.ndarray, rotated_b: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs (i, j) whose inner product's upper bound, worked out from the code of i, reaches the threshold."""
     code, f = encode(rotated_a)
-    s = code.astype(np.float32) @ rotated_b.T.astype(np.float32)
-    # The bound reaches the threshold exactly where the angle with the code is at most the sum of both angles.
-    most = np.arccos(np.minimum(f, 1)) + math.acos(min(threshold, 1))
-    least = np.where(most < math.pi, np.cos(most), -2.0)
-    return np.argwhere(s >= (least - ROUNDING)[:, None])
+    return np.stack(_reached(code.astype(np.float32), least_cosines(f, threshold), rotated_b.astype(np.float32)), 1)
+
+
+def folded(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label``, the smallest place known to be linked with each place, after the links (i, j) too."""
+    a, b = label[i], label[j]
+    while len(a):
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            over = label[label]
+            if (over == label).all():
+                break
+            label = over
+        a, b = label[a], label[b]
+        on = a != b
+        a, b = a[on], b[on]
+    return label
+
+
+def linked(unit_a: np.ndarray, unit_b: np.ndarray, same: bool, threshold: float):
+    """Arrays (i, j) of the pairs of both sides at the threshold, some at a time; with ``same`` those with i < j."""
+    rotation = _rotation(unit_a.shape[1])
+    code, f = encode(unit_a @ rotation)
+    code, least = code.astype(np.float32), least_cosines(f, threshold)
+    turned = (unit_b @ rotation).astype(np.float32)
+    rows, columns = TILE
+    for x in range(0, len(code), rows):
+        for y in range(x // columns * columns if same else 0, len(turned), columns):
+            i, j = _reached(code[x:x + rows], least[x:x + rows], turned[y:y + columns])
+            i, j = i + x, j + y
+            if same:
+                on = i < j
+                i, j = i[on], j[on]
+            for c in range(0, len(i), 8192):
+                ii, jj = i[c:c + 8192], j[c:c + 8192]
+                ok = np.einsum("ij,ij->i", unit_a[ii], unit_b[jj]) >= threshold
+                if ok.any():
+                    yield ii[ok], jj[ok]
 
 
 def _compare(threshold: float):
     def block(row, k):
-        n = row[f"node_{k}"].as_py()
-        node, weight = np.frombuffer(n, np.int64), np.frombuffer(row[f"copies_{k}"].as_py(), np.int64)
-        return node, weight, np.frombuffer(row[f"vectors_{k}"].as_py(), np.float64).reshape(len(node), -1)
+        node, weight = (np.frombuffer(row[f"{c}_{k}"].as_buffer(), np.int64) for c in ("node", "copies"))
+        values = np.frombuffer(row[f"vectors_{k}"].as_buffer(), row["kind"].as_py())
+        return node, weight, _units(values.reshape(len(node), -1))
 
     def compare(batches):
         for batch in batches:
@@ -84,51 +130,67 @@ def _compare(threshold: float):
                 row = {n: batch.column(k)[at] for k, n in enumerate(batch.schema.names)}
                 same = row["p"].as_py() == row["q"].as_py()
                 node, weight, unit = block(row, "p")
-                size = len(node)
+                other, low = unit, 0
                 if not same:
-                    other = block(row, "q")
-                    node, weight, unit = (np.concatenate(x) for x in zip((node, weight, unit), other))
-                turned = unit @ _rotation(unit.shape[1])
-                low, to = (0, size) if same else (size, len(node))
-                pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-                for x in range(0, size, 512):
-                    for y in range(low, to, 512):
-                        if same and y < x:
-                            continue
-                        found = candidates(turned[x:min(x + 512, size)], turned[y:min(y + 512, to)], threshold)
-                        i, j = x + found[:, 0], y + found[:, 1]
-                        if same and x == y:
-                            i, j = i[i < j], j[i < j]
-                        for c in range(0, len(i), 8192):
-                            ii, jj = i[c:c + 8192], j[c:c + 8192]
-                            ok = np.einsum("ij,ij->i", unit[ii], unit[jj]) >= threshold
-                            pairs.append((ii[ok], jj[ok]))
-                i, j = (np.concatenate(x) for x in zip(*pairs))
-                links = np.bincount(i, weight[j], minlength=len(node)) + np.bincount(j, weight[i], minlength=len(node))
-                label = node.copy()
-                while len(i):
-                    least = label.copy()
-                    np.minimum.at(least, i, label[j])
-                    np.minimum.at(least, j, label[i])
-                    if (least == label).all():
-                        break
-                    label = least
+                    low = len(node)
+                    node_q, weight_q, other = block(row, "q")
+                    node, weight = np.r_[node, node_q], np.r_[weight, weight_q]
+                order = np.argsort(node)
+                rank = np.empty(len(node), np.int64)
+                rank[order] = np.arange(len(node))
+                links, label, held, pairs = np.zeros(len(node)), np.arange(len(node)), 0, []
+                for i, j in linked(unit, other, same, threshold):
+                    j = j + low
+                    links += np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
+                    i, j = rank[i], rank[j]
+                    pairs.append((i, j))
+                    held += len(i)
+                    if held >= FOLD:
+                        label, held, pairs = folded(label, *map(np.concatenate, zip(*pairs))), 0, []
+                if pairs:
+                    label = folded(label, *map(np.concatenate, zip(*pairs)))
                 on = links > 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[on]), pa.array(links[on].astype(np.int64)), pa.array(label[on])],
+                    [pa.array(node[on]), pa.array(links[on].astype(np.int64)), pa.array(node[order[label[rank[on]]]])],
                     ["node", "links", "root"])
     return compare
 
 
-def _packed(rows: pa.Table) -> pa.Table:
-    """One row of the vectors of a block: their nodes, copies and unit vectors as bytes."""
-    rows = rows.combine_chunks()
-    unit = _units(_matrix(rows["vector"].chunk(0)))
-    return pa.table({
-        "dim": pa.array([unit.shape[1]], pa.int32()), "part": rows["part"].slice(0, 1).combine_chunks(),
-        "node": pa.array([rows["node"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
-        "copies": pa.array([rows["copies"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
-        "vectors": pa.array([unit.tobytes()], pa.binary())})
+def _packed(kind: str, vectors: int):
+    """Rows (vector, node, copies) to blocks: vectors of one length as bytes, about as many as ``vectors``, in rows as they come."""
+    def block(dim: int, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([dim], pa.int32()), *[pa.array([b"".join(x)], pa.binary()) for x in zip(*rows)]],
+            ["dim", "vectors", "node", "copies"])
+
+    def pack(batches):
+        held: dict = {}  # by length: (vectors, their rows)
+        total = 0  # bytes
+        for batch in batches:
+            column = batch.column(0)
+            size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size):
+                at = np.flatnonzero(size == dim)
+                width = int(dim) * np.dtype(kind).itemsize
+                most = max(1, min(vectors, BLOCK // width))
+                for a in range(0, len(at), most):
+                    some = batch.take(pa.array(at[a:a + most]))
+                    n, rows = held.get(int(dim), (0, []))
+                    if n + len(some) > most:
+                        yield block(int(dim), held.pop(int(dim))[1])
+                        total -= n * width
+                        n, rows = 0, []
+                    rows.append((some.column(0).flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes(),
+                                 *[some.column(k).to_numpy().astype(np.int64).tobytes() for k in (1, 2)]))
+                    held[int(dim)] = (n + len(some), rows)
+                    total += len(some) * width
+            if total > 8 * BLOCK:  # vectors of very many lengths
+                for dim in list(held):
+                    yield block(dim, held.pop(dim)[1])
+                total = 0
+        for dim, (_, rows) in held.items():
+            yield block(dim, rows)
+    return pack
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -138,29 +200,30 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     vec_id, node (null if unusable), copies. found: node, links (rows of other
     nodes linked directly), root (a smaller or equal node reachable by links).
     """
-    spark = vectors.sparkSession
-    double = F.col("embedding").cast("array<double>")
-    bad = F.exists(double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = (F.size(double) > 0) & ~bad & F.exists(double, lambda x: x != 0)
+    kind, name = ("<f4", "float") if dict(vectors.dtypes)["embedding"] == "array<float>" else ("<f8", "double")
+    values = F.col("embedding").cast(f"array<{name}>")
+    bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = (F.size(values) > 0) & ~bad & F.exists(values, lambda x: x != 0)
     rows = materialize(vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"),
-        F.when(F.coalesce(usable, F.lit(False)), F.transform(double, lambda x: x + F.lit(0.0))).alias("vector")), "emb-rows")
-    nodes = materialize(rows.where("vector is not null").groupBy("vector").agg(
-        F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")), "emb-nodes")
-    sized = nodes.withColumn("dim", F.size("vector"))
-    parts = materialize(sized.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts")), "emb-parts")
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    blocks = materialize(sized.join(parts, "dim").withColumn("part", part).groupBy("dim", "part").applyInArrow(
-        _packed, "dim int, part long, node binary, copies binary, vectors binary"), "emb-blocks")
-    side = {k: blocks.select("dim", F.col("part").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("node", "copies", "vectors")])
-            for k in "pq"}
-    # The pairs of blocks are dealt by number; each side of a pair is looked up by its block.
-    met = parts.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn(
-        "q", F.explode(F.sequence("p", F.col("parts") - 1))).select("dim", "p", "q")
-    met = met.join(side["p"], ["dim", "p"]).join(side["q"], ["dim", "q"])
-    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "p", "q")
-    found = materialize(met.mapInArrow(_compare(threshold), _EDGES), "emb-found")
-    return rows.join(nodes, "vector", "left").select("vec_id", "node", "copies"), found
+        F.when(F.coalesce(usable, F.lit(False)), F.transform(values, lambda x: x + F.lit(0.0).cast(name))).alias("vector")), "emb-rows")
+    # Equal vectors have equal texts, and others other ones: a row finds its node by their hash, and no vector travels for it.
+    keys = materialize(rows.select("vec_id", "row", F.unhex(F.sha2(F.array_join(F.col("vector").cast("array<string>"), ","), 256))
+                                   .alias("key")), "emb-keys")
+    nodes = keys.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
+    size = rows.where("vector is not null").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vector")).alias("values")).first()
+    some = max(PART, -(-size["n"] // BLOCKS))
+    parts = max(1, -(-size["n"] // some), -(-(size["values"] or 0) * int(kind[2]) // BLOCK))
+    # A block is a file, so that a task that reads several holds one of them at a time.
+    blocks = materialize(
+        rows.where("vector is not null").groupBy("vector").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
+        .coalesce(parts).mapInArrow(_packed(kind, some), "dim int, vectors binary, node binary, copies binary")
+        .withColumn("block", F.monotonically_increasing_id()), "emb-blocks", maxRecordsPerFile=1)
+    side = {k: blocks.select(F.col("dim").alias(f"dim_{k}"), F.col("block").alias(k),
+                             *[F.col(c).alias(f"{c}_{k}") for c in ("node", "copies", "vectors")]) for k in "pq"}
+    met = side["p"].join(side["q"].hint("shuffle_replicate_nl"), (F.col("dim_p") == F.col("dim_q")) & (F.col("p") <= F.col("q")))
+    found = materialize(met.withColumn("kind", F.lit(kind)).mapInArrow(_compare(threshold), _EDGES), "emb-found")
+    return keys.join(nodes, "key", "left").select("vec_id", "node", "copies"), found
 
 
 def report(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
