@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitae.functions.text import clean
-from vitae.operators.extract import detect_skills
+from vitae.operators.extract import VOCABULARY_ROWS, detect_skills
 from vitae.operators.skew import join_split
-from vitae.session import materialize
+from vitae.session import materialize, row_count_at_most
 
 _WORDS = r"(?U)\w+"
 _RULES, _WEIGHTS = "ord long, synonym string, standard string", "skill string, weight double"
@@ -75,7 +75,8 @@ def rewritten(texts: DataFrame, closed: DataFrame | None) -> DataFrame:
     if closed is None:
         return texts.select("id", "text")
     words = texts.select("id", F.posexplode(F.split("text", " ")).alias("pos", "term"))
-    met = join_split(words, closed, ["term"], "left")
+    few = row_count_at_most(closed, VOCABULARY_ROWS)
+    met = words.join(F.broadcast(closed), "term", "left") if few else join_split(words, closed.hint("merge"), ["term"], "left")
     word = F.coalesce("standard", "term")
     return met.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))),
                                                           lambda s: s["word"]), " ").alias("text"))
@@ -85,7 +86,9 @@ def boosts(texts: DataFrame, weights: DataFrame) -> DataFrame:
     """``(id, term, cnt)``: what the weighted skills in each text add to its term counts (H5)."""
     skills = weights.select(F.lower("skill").alias("skill"), F.floor(F.col("weight") * 2).cast("long").alias("cnt"))
     found = detect_skills(texts, skills, "id", "text", "skill").select("id", F.explode("skills").alias("skill"))
-    return found.join(skills, "skill").where("cnt > 0").select(
+    # the texts' side is never broadcast: its files are small beside its rows
+    met = F.broadcast(skills) if row_count_at_most(skills, VOCABULARY_ROWS) else skills.hint("merge")
+    return found.join(met, "skill").where("cnt > 0").select(
         "id", F.explode(F.regexp_extract_all("skill", F.lit(_WORDS), 0)).alias("term"), "cnt").where(F.length("term") >= 2)
 
 
@@ -111,4 +114,4 @@ def strict_terms(texts: DataFrame, weights: Mapping[str, float] | DataFrame) ->
 def distinct_texts(texts: DataFrame) -> DataFrame:
     """One row per distinct text, under its smallest id."""
     kept = texts.groupBy(F.md5("text").alias("digest")).agg(F.min("id").alias("id"))
-    return texts.join(kept.select("id"), "id", "left_semi")
+    return texts.join(kept.select("id").hint("merge"), "id", "left_semi")
